@@ -2,45 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that one step of a Python operator holds as words at a time.
-STEP_BYTES = 2_000_000
-
+from graphloom.tables import fresh_path, materialize, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
+__all__ = ["documents", "fresh_path", "learning_fold", "materialize", "per_step", "shared_dir", "shuffle_partitions", "text_steps"]
 
-    It is ``spark.checkpoint.dir`` where the session has it. Only where that is unset one is made:
-    a temporary folder for a local master, and a folder in the warehouse otherwise.
-    """
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if sc.master.startswith("local[") or sc.master == "local":
-            found = tempfile.mkdtemp(prefix="graphloom-")
-        else:
-            found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_graphloom_shared"
-        spark.conf.set("spark.checkpoint.dir", found)
-        sc.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back, which cuts the lineage."""
-    path = fresh_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Bytes of text that one step of a Python operator holds as words at a time.
+STEP_BYTES = 2_000_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
