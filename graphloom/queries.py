@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import scalar
 from graphloom.operators import change, context, federated, metrics, rank, resolve, search, walk
 from graphloom.plans import graph_view as g
-from graphloom.tables import ignore_duplicate_edges, upsert
+from graphloom.tables import ignore_duplicate_edges, materialize, upsert
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -32,6 +32,11 @@ def graph_sql(body: str, more: str = "") -> str:
     return f"WITH RECURSIVE {g.SQL.strip()}{', ' + more if more else ''}\n{body}"
 
 
+def stored(spark: SparkSession, sf_dir: str, relationships: tuple[str, ...] | None = None) -> g.Graph:
+    """The graph with its edges as a written table, for walks that read them once a level."""
+    return g.Graph(g.symbols(spark, sf_dir), materialize(spark, g.edges(spark, sf_dir, relationships), "edges"))
+
+
 def seeds_of(spark: SparkSession, *ids: int) -> DataFrame:
     return spark.createDataFrame([(i, i) for i in ids], "seed_id long, id long")
 
@@ -67,27 +72,27 @@ PARTS = "id IN (1000000001, 1000000002, 1000000003)"
 @query(graph_sql(REFERENCES_SQL, walk_sql("target", "source", "'CALLS'", "id = 1000000001", 2)))
 def walk_callers_d2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G1 of one seed."""
-    gr = g.graph(spark, sf_dir, ("CALLS",))
+    gr = stored(spark, sf_dir, ("CALLS",))
     return walk.references(spark, gr.edges, gr.symbols, seeds_of(spark, g.PART + 1), "callers", 2).select(REFERENCES)
 
 
 @query(graph_sql(REFERENCES_SQL, walk_sql("source", "target", "'CALLS'", PARTS, 2)))
 def walk_callees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G1 of three seeds in one job."""
-    gr = g.graph(spark, sf_dir, ("CALLS",))
+    gr = stored(spark, sf_dir, ("CALLS",))
     return walk.references(spark, gr.edges, gr.symbols, seeds_of(spark, *(g.PART + i for i in (1, 2, 3))), "callees", 2).select(REFERENCES)
 
 
 @query(graph_sql(REFERENCES_SQL, walk_sql("source", "target", "'EXTENDS', 'IMPLEMENTS'", "kind = 'method' AND id < 3000000050", 2)))
 def walk_supers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gr = g.graph(spark, sf_dir, ("EXTENDS", "IMPLEMENTS"))
+    gr = stored(spark, sf_dir, ("EXTENDS", "IMPLEMENTS"))
     seeds = gr.symbols.where("kind = 'method' AND id < 3000000050").select(F.col("id").alias("seed_id"), "id")
     return walk.references(spark, gr.edges, gr.symbols, seeds, "supers", 2).select(REFERENCES)
 
 
 @query(graph_sql(REFERENCES_SQL, walk_sql("target", "source", "'IMPLEMENTS'", "kind = 'constant'", 2)))
 def walk_implementors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gr = g.graph(spark, sf_dir, ("IMPLEMENTS",))
+    gr = stored(spark, sf_dir, ("IMPLEMENTS",))
     seeds = gr.symbols.where("kind = 'constant'").select(F.col("id").alias("seed_id"), "id")
     return walk.references(spark, gr.edges, gr.symbols, seeds, "implementors", 3).select(REFERENCES)
 
@@ -98,7 +103,7 @@ BLAST = walk_sql("target", "source", "'CALLS'", "id IN (1000000001, 1000000002)"
 @query(graph_sql("SELECT l.seed_id, l.id, s.name, s.file_path, l.line, l.depth, CASE WHEN l.depth = 1 THEN 'direct' ELSE 'transitive' END AS scope FROM lined l JOIN g_symbols s ON s.id = l.id", BLAST))
 def blast_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G2."""
-    gr = g.graph(spark, sf_dir, ("CALLS",))
+    gr = stored(spark, sf_dir, ("CALLS",))
     return walk.blast_radius(spark, gr.edges, gr.symbols, seeds_of(spark, g.PART + 1, g.PART + 2), 2)
 
 
@@ -107,7 +112,7 @@ def blast_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM (SELECT r.seed_id, r.depth, s.file_path FROM reached r JOIN g_symbols s ON s.id = r.id) t GROUP BY seed_id""", BLAST))
 def blast_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A9, A10."""
-    gr = g.graph(spark, sf_dir, ("CALLS",))
+    gr = stored(spark, sf_dir, ("CALLS",))
     seeds = seeds_of(spark, g.PART + 1, g.PART + 2)
     return walk.blast_summary(gr.symbols, seeds, walk.blast_radius(spark, gr.edges, gr.symbols, seeds, 2))
 
@@ -120,7 +125,7 @@ UNION ALL SELECT e.target_id, s.id, s.name, s.file_path, 'type_dependency:' || e
 WHERE e.relationship IN ('EXTENDS', 'IMPLEMENTS') AND e.target_id IN (1000000001, 4000000003)""", IMPACT))
 def change_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G3."""
-    gr = g.graph(spark, sf_dir, ("CALLS", "EXTENDS", "IMPLEMENTS"))
+    gr = stored(spark, sf_dir, ("CALLS", "EXTENDS", "IMPLEMENTS"))
     return walk.change_impact(spark, gr.edges, gr.symbols, seeds_of(spark, g.PART + 1, g.NATION + 3), 1)[0]
 
 
@@ -132,7 +137,7 @@ FROM (SELECT seed_id, count(DISTINCT file_path) AS files FROM (
 LEFT JOIN (SELECT seed_id, count(*) AS n, count(*) FILTER (depth = 1) AS direct, count(*) FILTER (depth > 1) AS transitive FROM reached WHERE depth > 0 GROUP BY seed_id) c ON c.seed_id = x.seed_id
 LEFT JOIN (SELECT target_id, count(*) AS types FROM g_edges WHERE relationship IN ('EXTENDS', 'IMPLEMENTS') GROUP BY target_id) t ON t.target_id = x.seed_id""", IMPACT))
 def change_impact_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gr = g.graph(spark, sf_dir, ("CALLS", "EXTENDS", "IMPLEMENTS"))
+    gr = stored(spark, sf_dir, ("CALLS", "EXTENDS", "IMPLEMENTS"))
     return walk.change_impact(spark, gr.edges, gr.symbols, seeds_of(spark, g.PART + 1, g.NATION + 3), 1)[1]
 
 
@@ -149,7 +154,7 @@ FLOW = """f(id, role, depth) AS (
 @query(graph_sql("SELECT CAST(1000000001 AS BIGINT) AS seed_id, from_id, to_id, line, depth FROM paths", FLOW))
 def data_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G4."""
-    gr = g.graph(spark, sf_dir, ("CALLS",))
+    gr = stored(spark, sf_dir, ("CALLS",))
     return walk.data_flow(spark, gr.edges, gr.symbols, seeds_of(spark, g.PART + 1), "both", 2)
 
 
@@ -159,7 +164,7 @@ def data_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
 JOIN g_symbols s ON s.id = t.id WHERE t.n = 1""", FLOW))
 def data_flow_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G4, O6."""
-    gr = g.graph(spark, sf_dir, ("CALLS",))
+    gr = stored(spark, sf_dir, ("CALLS",))
     seeds = seeds_of(spark, g.PART + 1)
     return walk.flow_nodes(walk.data_flow(spark, gr.edges, gr.symbols, seeds, "both", 2), seeds, gr.symbols)
 
@@ -173,7 +178,7 @@ EXPAND = f"""{UNDIRECTED}, x(id, depth) AS (
 @query(graph_sql("SELECT CAST(4000000003 AS BIGINT) AS seed_id, id, depth FROM e2", EXPAND))
 def expand_undirected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G5."""
-    return walk.expand(spark, g.edges(spark, sf_dir), seeds_of(spark, g.NATION + 3), 2)
+    return walk.expand(spark, stored(spark, sf_dir).edges, seeds_of(spark, g.NATION + 3), 2)
 
 
 @query(graph_sql("SELECT e.source_id, e.target_id, e.relationship FROM g_edges e JOIN g_symbols a ON a.id = e.source_id JOIN g_symbols b ON b.id = e.target_id WHERE a.pagerank_score > 0.095 AND b.pagerank_score > 0.095"))
@@ -228,7 +233,7 @@ def _ppr_sql(rounds: int) -> str:
 @query(_ppr_sql(20))
 def ppr_20(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G7 on what one seed reaches."""
-    edges, seeds = g.edges(spark, sf_dir), seeds_of(spark, g.NATION + 3)
+    edges, seeds = stored(spark, sf_dir).edges, seeds_of(spark, g.NATION + 3)
     return rank.personalized_pagerank(spark, edges, walk.expand(spark, edges, seeds, 2), seeds).select("seed_id", "id", F.round("score", 9).alias("score"))
 
 
@@ -350,7 +355,7 @@ def redact_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def context_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequential by definition, so tests hold it against a plain fold."""
-    gr = g.graph(spark, sf_dir)
+    gr = stored(spark, sf_dir)
     return context.get_context(spark, gr.symbols, gr.edges, seeds_of(spark, g.NATION + 3), "nation customer", budget=600, depth=1).select("seed_id", "position", "id", "included_as", "tokens", "selection_reason")
 
 
