@@ -79,35 +79,39 @@ def _repeat_words(hashes: Column) -> Column:
 
 def _buckets(hashes: Column) -> Column:
     n = F.size(hashes)
-    one = F.transform(hashes, lambda h: F.pmod(h, F.lit(BUCKETS)).cast("int"))
-    two = F.when(n < 2, F.array().cast("array<int>")).otherwise(F.transform(F.sequence(F.lit(0), n - 2), lambda i: F.pmod(F.xxhash64(F.get(hashes, i), F.get(hashes, i + 1)), F.lit(BUCKETS)).cast("int")))
+    bucket = lambda h: h.bitwiseAND(F.lit(BUCKETS - 1).cast("bigint")).cast("int")  # noqa: E731  BUCKETS is a power of two
+    one = F.transform(hashes, bucket)
+    two = F.when(n < 2, F.array().cast("array<int>")).otherwise(F.transform(F.sequence(F.lit(0), n - 2), lambda i: bucket(F.xxhash64(F.get(hashes, i), F.get(hashes, i + 1)))))
     return F.concat(one, two)
 
 
-def measured(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """Base columns and ``buckets`` of every document, beside the columns ``keep`` (doc_id) in a struct ``row``."""
+def measured(docs: DataFrame, keep: list[str] | None = None, repeats: bool = True) -> DataFrame:
+    """Columns of the rules and ``buckets`` of every document, beside the columns ``keep`` (doc_id) in a struct ``row``.
+
+    Without ``repeats``, the repeated words and so ``base_failed`` are left out; counting does not need them.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(_without(x, SPACE)) > 0)
     hashes = F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w))
 
     def columns(h: Column) -> Column:
-        return F.struct(F.size(h).cast("bigint").alias("n_words"), _repeat_words(h).alias("n_repeat_words"), _buckets(h).alias("buckets"))
+        own = [F.size(h).cast("bigint").alias("n_words"), F.size(F.array_distinct(h)).cast("bigint").alias("n_distinct_words"), _buckets(h).alias("buckets")]
+        return F.struct(*own, *([_repeat_words(h).alias("n_repeat_words")] if repeats else []))
 
-    return docs.select(
+    out = docs.select(
         F.struct(*(keep or ["doc_id"])).alias("row"),
         let(hashes, columns).alias("m"),
         F.length(_without(text, SPACE)).cast("bigint").alias("word_chars"),
         (F.length(text) - F.length(_without(text, SYMBOLS))).cast("bigint").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("n_dup_lines"),
         (F.length(text) - F.length(_without(text, UPPER))).cast("bigint").alias("n_upper"),
-    ).select("row", "m.n_words", "word_chars", "n_symbols", "n_dup_lines", "m.n_repeat_words", "n_upper", "m.buckets").withColumn(
-        "base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    )
+    ).select("row", "m.*", "word_chars", "n_symbols", "n_dup_lines", "n_upper")
+    return out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))) if repeats else out
 
 
 def trusted() -> Column:
-    """The strict form of the rules: hardly any symbols or capitals, few repeats, no repeated line."""
-    return ~F.col("base_failed") & (200 * F.col("n_symbols") <= F.col("word_chars")) & (10 * F.col("n_upper") <= F.col("word_chars")) & (10 * F.col("n_repeat_words") <= F.col("n_words")) & (F.col("n_dup_lines") == 0)
+    """The strict form of the rules: long enough, hardly any symbols or capitals, many distinct words, no repeated line."""
+    return (F.col("n_words") >= MIN_WORDS) & (200 * F.col("n_symbols") <= F.col("word_chars")) & (10 * F.col("n_upper") <= F.col("word_chars")) & (10 * F.col("n_distinct_words") >= F.col("n_words")) & (F.col("n_dup_lines") == 0)
 
 
 def log_ratios(rows: DataFrame, target: Column) -> list[float]:
@@ -130,12 +134,11 @@ def log_ratios(rows: DataFrame, target: Column) -> list[float]:
 
 def judged(docs: DataFrame, keep: list[str] | None = None, target: Column | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """Base columns, ``score`` and ``kept`` of every document, and its ``row``."""
-    rows = measured(docs, keep)
-    ratios = log_ratios(rows, trusted() if target is None else target)
+    ratios = log_ratios(measured(docs, keep, repeats=target is not None), trusted() if target is None else target)
     table = F.split(F.lit(",".join(f"{x:.6f}" for x in ratios)), ",").cast("array<double>")
     total = F.aggregate("buckets", F.lit(0.0), lambda a, b: a + F.get(table, b))
     score = F.when(F.size("buckets") == 0, F.lit(0.0)).otherwise(total / F.size("buckets"))
-    return rows.withColumn("score", F.round(score, 9)).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold)).drop("buckets", "n_upper")
+    return measured(docs, keep).withColumn("score", F.round(score, 9)).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold)).drop("buckets", "n_upper", "n_distinct_words")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
