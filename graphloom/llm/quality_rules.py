@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 from .common import documents
 
 BUCKETS = 8_192
-#: Mean log ratio under which a document is unlike the target.
-THRESHOLD = -0.35
+#: Mean log ratio under which a document is unlike the target: its n-grams are six in a hundred rarer there than in
+#: the raw corpus. Labelled good documents stay above it at every size tried, nearly all labelled bad ones below.
+THRESHOLD = -0.06
 SMOOTHING = 1.0
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
