@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from graphloom import schema
 from graphloom.functions import scalar
 from graphloom.operators.rank import personalized_pagerank
-from graphloom.operators.walk import both_ways, expand, hydrate_source
+from graphloom.operators.walk import both_ways, expand, hydrate_source, levels
 from graphloom.tables import materialize
 
 
@@ -122,8 +122,6 @@ def bundle(ranked: DataFrame, edges: DataFrame, budget: int = 8_000, signatures_
 def quality(included: DataFrame, seeds: DataFrame, edges: DataFrame, budget: int) -> DataFrame:
     """Seed hits, connectedness within the bundle, depth, use of the budget and duplicates, for each seed_id."""
     spark = included.sparkSession
-    from graphloom.operators.walk import levels
-
     inside = included.select("seed_id", "id")
     steps = both_ways(edges).distinct()
     start = seeds.join(inside, ["seed_id", "id"], "left_semi")
