@@ -31,8 +31,6 @@ from pyspark.sql import types as T
 OPEN, HEAD_END, CLOSE = "<s>[INST]", "[/INST]", "</s>"
 #: What starts like a control string or a placeholder.
 _CONTROL = re.compile(r"\\|[<\[](?=/?s>|/?INST\]|<?/?SYS>>|\|)")
-_ESCAPED = re.compile(r"\\(.)", re.DOTALL)
-_PLACEHOLDER = re.compile(r"<\|(image|audio|document):(\d+)\|>")
 _TURN = re.compile(re.escape(OPEN) + "(.*?)" + re.escape(HEAD_END) + "(.*?)" + re.escape(CLOSE), re.DOTALL)
 
 PARTS = T.ArrayType(
