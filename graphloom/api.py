@@ -275,3 +275,27 @@ class Federation:
 
     def shard_status(self) -> list[dict]:
         return Engine._dicts(federated.shard_report(self.symbols, self.edges).orderBy("repo_id"))
+
+    def get_context(self, query: str, entry_points: list[str] | None = None, token_budget: int = 8_000) -> dict:
+        """The bundle of each repository that holds an entry point, in the order of the points; of all without any."""
+        routed = list(dict.fromkeys(r for e in entry_points or [] for r in self.routes(e)))
+        repos = routed or [r["repo_id"] for r in federated.enabled(self.shards).collect()]
+        payload = {"query": query, "entry_points": entry_points or [], "token_budget": token_budget}
+        return {r: self._one(r).call("get_context", payload) for r in repos[: schema.MAX_SHARDS]}
+
+    def workspace_status(self) -> list[dict]:
+        """Counts by repository, and over all under no name."""
+        report = federated.shard_report(self.symbols, self.edges)
+        return Engine._dicts(metrics.totals(report, "repo_id", ["symbols", "edges"]).orderBy(F.col("repo_id").asc_nulls_last()))
+
+    def tools(self) -> dict[str, Callable[..., Any]]:
+        return {
+            "federated_search_symbols": self.search_symbols,
+            "federated_get_references": self.get_references,
+            "federated_get_blast_radius": self.get_blast_radius,
+            "federated_get_context": self.get_context,
+            "get_cross_repo_edges": self.cross_repo_edges,
+            "get_shard_status": self.shard_status,
+            "search_workspace_symbols": self.search_symbols,
+            "get_workspace_status": self.workspace_status,
+        }

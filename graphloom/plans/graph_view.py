@@ -45,9 +45,9 @@ def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
     nation = lambda key: F.concat(F.lit("nation_"), c(key).cast("string"))
     return (
-        kind("part", PART, "p_partkey", "p_name", "function", F.concat(F.lit("src/"), F.lower(F.replace(c("p_brand"), F.lit("#"), F.lit(""))), F.lit(".py")), c("p_size"), F.concat(F.lit("def "), c("p_name"), F.lit("("), c("p_type"), F.lit(")")), c("p_retailprice") / 10000.0)
-        .unionByName(kind("supplier", SUPPLIER, "s_suppkey", "s_name", "class", F.concat(F.lit("src/"), nation("s_nationkey"), F.lit("/app.py")), c("s_suppkey") % 100 + 1, F.concat(F.lit("class "), c("s_name")), c("s_acctbal") / 20000.0))
-        .unionByName(kind("customer", CUSTOMER, "c_custkey", "c_name", "method", F.concat(F.lit("src/"), nation("c_nationkey"), F.lit("/tests/app_test.py")), c("c_custkey") % 500 + 1, F.concat(F.lit("def "), c("c_name"), F.lit("("), c("c_mktsegment"), F.lit(")")), c("c_acctbal") / 20000.0))
+        kind("part", PART, "p_partkey", "p_name", "function", F.concat(F.lit("src/"), F.lower(F.replace(c("p_brand"), F.lit("#"), F.lit(""))), F.lit(".py")), c("p_size"), F.concat(F.lit("def "), c("p_name"), F.lit("("), c("p_type"), F.lit(")")), F.floor("p_retailprice") / 10000.0)
+        .unionByName(kind("supplier", SUPPLIER, "s_suppkey", "s_name", "class", F.concat(F.lit("src/"), nation("s_nationkey"), F.lit("/app.py")), c("s_suppkey") % 100 + 1, F.concat(F.lit("class "), c("s_name")), F.floor("s_acctbal") / 20000.0))
+        .unionByName(kind("customer", CUSTOMER, "c_custkey", "c_name", "method", F.concat(F.lit("src/"), nation("c_nationkey"), F.lit("/tests/app_test.py")), c("c_custkey") % 500 + 1, F.concat(F.lit("def "), c("c_name"), F.lit("("), c("c_mktsegment"), F.lit(")")), F.floor("c_acctbal") / 20000.0))
         .unionByName(kind("nation", NATION, "n_nationkey", "n_name", "interface", F.lit("src/main.py"), c("n_nationkey") + 1, F.lit(None).cast("string"), c("n_nationkey") / 100.0))
         .unionByName(kind("region", REGION, "r_regionkey", "r_name", "constant", F.lit("lib/region.py"), c("r_regionkey") + 1, F.lit(None).cast("string"), c("r_regionkey") / 100.0))
     )
@@ -81,13 +81,13 @@ SQL = """
 g_symbols AS (
   SELECT CAST(1000000000 + p_partkey AS BIGINT) AS id, p_name AS name, 'part.' || p_name || '.' || p_partkey AS qualified_name, 'function' AS kind,
          'src/' || lower(replace(p_brand, '#', '')) || '.py' AS file_path, p_size AS start_line, p_size + 9 AS end_line,
-         'def ' || p_name || '(' || p_type || ')' AS signature, 'part ' || p_name AS docstring, p_retailprice / 10000.0 AS pagerank_score FROM part
+         'def ' || p_name || '(' || p_type || ')' AS signature, 'part ' || p_name AS docstring, floor(p_retailprice) / 10000.0 AS pagerank_score FROM part
   UNION ALL
   SELECT 2000000000 + s_suppkey, s_name, 'supplier.' || s_name || '.' || s_suppkey, 'class', 'src/nation_' || s_nationkey || '/app.py',
-         CAST(s_suppkey % 100 + 1 AS INT), CAST(s_suppkey % 100 + 10 AS INT), 'class ' || s_name, 'supplier ' || s_name, s_acctbal / 20000.0 FROM supplier
+         CAST(s_suppkey % 100 + 1 AS INT), CAST(s_suppkey % 100 + 10 AS INT), 'class ' || s_name, 'supplier ' || s_name, floor(s_acctbal) / 20000.0 FROM supplier
   UNION ALL
   SELECT 3000000000 + c_custkey, c_name, 'customer.' || c_name || '.' || c_custkey, 'method', 'src/nation_' || c_nationkey || '/tests/app_test.py',
-         CAST(c_custkey % 500 + 1 AS INT), CAST(c_custkey % 500 + 10 AS INT), 'def ' || c_name || '(' || c_mktsegment || ')', 'customer ' || c_name, c_acctbal / 20000.0 FROM customer
+         CAST(c_custkey % 500 + 1 AS INT), CAST(c_custkey % 500 + 10 AS INT), 'def ' || c_name || '(' || c_mktsegment || ')', 'customer ' || c_name, floor(c_acctbal) / 20000.0 FROM customer
   UNION ALL
   SELECT 4000000000 + n_nationkey, n_name, 'nation.' || n_name || '.' || n_nationkey, 'interface', 'src/main.py', n_nationkey + 1, n_nationkey + 10, NULL, 'nation ' || n_name, n_nationkey / 100.0 FROM nation
   UNION ALL

@@ -291,7 +291,7 @@ BASE = """b AS (SELECT s.*, coalesce(i.n, 0) AS inbound, coalesce(o.n, 0) AS out
   WHERE NOT (lower(file_path) LIKE '%/test%' OR lower(file_path) LIKE '%_test.py'))"""
 
 
-@query(graph_sql("""SELECT id, inbound, outbound, round(0.6 * pagerank_score + 0.25 * inbound + 0.1 * outbound + CASE WHEN regexp_matches(regexp_extract(lower(file_path), '[^/]*$'), '^(main|app|server|cli|index)') THEN 0.35 ELSE 0 END, 6) AS entry_score
+@query(graph_sql("""SELECT id, inbound, outbound, round(CAST(0.6 AS DOUBLE) * pagerank_score + CAST(0.25 AS DOUBLE) * inbound + CAST(0.1 AS DOUBLE) * outbound + CASE WHEN regexp_matches(regexp_extract(lower(file_path), '[^/]*$'), '^(main|app|server|cli|index)') THEN 0.35 ELSE 0 END, 6) AS entry_score
 FROM b ORDER BY 4 DESC, qualified_name, file_path LIMIT 50""", BASE))
 def entry_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G14, N11, F12."""

@@ -235,6 +235,8 @@ def test_federation(spark):
     assert f.routes("lib.helper", "app") == ["app", "lib"]
     out = f.get_references("helper")
     assert set(out["shards"]) == {"lib"} and not out["errors"]
+    assert list(f.get_context("helper", ["lib.helper"])) == ["lib"] and {"federated_search_symbols", "get_workspace_status"} <= set(f.tools())
+    assert [(r["repo_id"], r["symbols"], r["edges"]) for r in f.workspace_status()] == [("app", 1, 0), ("lib", 1, 1), (None, 2, 1)]
     assert len(f.cross_repo_edges("lib", "in")) == 2 and [r["symbols"] for r in f.shard_status()] == [1, 1]
 
 
