@@ -256,7 +256,8 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = near_duplicates(spark, docs)
     named = found.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("least"), F.count("*").alias("n"))
     keep = materialize(spark, named.where("doc_id = least").select("doc_id", "n"), "kept_ids")
-    kept = docs.join(keep.where("n = 1"), "doc_id", "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))
+    # the hint keeps one plan at every size: identifiers are hashed by partition, texts are not sorted
+    kept = docs.join(keep.where("n = 1").hint("shuffle_hash"), "doc_id", "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))
     again = keep.where("n > 1")
     if not again.isEmpty():
         kept = kept.unionByName(docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
