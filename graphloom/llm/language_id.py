@@ -4,11 +4,12 @@ A profile is the ``PROFILE`` most frequent character n-grams (one to three lette
 order. A document's own profile is compared with each language's by the out-of-place distance: the sum of the differences
 of ranks, with ``PROFILE`` for an n-gram that the language's profile lacks. The nearest language wins.
 
-Profiles are counted over all learning documents: each task turns words to n-gram counts of its own, and these sums
-meet by language and n-gram, so no language is ever one task's rows. Profiles are ``PROFILE`` rows for each language.
+An n-gram is one number of three code points, so a text's n-grams are counted by sorting an array. Profiles are counted
+over all learning documents: each task has n-gram counts of its own, and these sums meet by language and n-gram, so
+no language is ever one task's rows. Profiles are ``PROFILE`` rows for each language.
 
-Defined results: a null text, or one without letters, is ``und`` with score 0; equal counts are ordered by a checksum of
-the n-gram and equal distances by language; without learning documents all is ``und``; repeated rows and null
+Defined results: a null text, or one without letters, is ``und`` with score 0; of equal counts longer n-grams come first,
+then those of smaller code points, and of equal distances the first language; without learning documents all is ``und``; repeated rows and null
 identifiers are kept, and a null identifier is never held out nor learnt from; extra columns are ignored; no rows give
 no rows. The score is one minus the distance over its greatest value.
 """
@@ -16,9 +17,8 @@ no rows. The score is one minus the distance over its greatest value.
 from __future__ import annotations
 
 import re
-import zlib
-from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +32,11 @@ from .common import documents, learning_fold, text_steps
 PROFILE = 400
 LONGEST = 3
 UNKNOWN = "und"
-#: Words that a task holds before it turns them to n-grams.
-HELD_WORDS = 300_000
-MAX_GRAMS = 200_000
-_WORDS = re.compile(r"[^\W\d_]+")
+#: N-grams that a task holds before it sums them up again.
+HELD_GRAMS = 3_000_000
+_LETTER = re.compile(r"[^\W\d_]")
+#: Bits of a code point, and what stands before shorter n-grams: no code point.
+_BITS, _NONE = 21, (1 << 21) - 1
 
 
 def grams(word: str) -> list[str]:
@@ -43,98 +44,95 @@ def grams(word: str) -> list[str]:
     return [padded[i : i + n] for n in range(1, LONGEST + 1) for i in range(len(padded) - n + 1) if padded[i : i + n] != " "]
 
 
-def _tie(gram: str) -> int:
-    return zlib.crc32(gram.encode())
+@lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    """For each code point whether it is a letter."""
+    out = np.zeros(0x110000, bool)
+    for low, high in ((0, 0xD800), (0xE000, 0x110000)):
+        out[[ord(c) for c in _LETTER.findall("".join(map(chr, range(low, high))))]] = True
+    return out
+
+
+def keys_of(text: str | None) -> np.ndarray:
+    """The n-grams of a text's words as numbers; what is no letter is zero, which pads words."""
+    codes = np.frombuffer((text or "").lower().encode("utf-32-le"), np.uint32)
+    c = np.zeros(len(codes) + 2, np.int64)
+    c[1:-1] = np.where(_letters()[codes], codes, 0)
+    inside = c != 0
+    two = (c[:-1] << _BITS | c[1:])[inside[:-1] | inside[1:]]
+    three = (c[:-2] << 2 * _BITS | c[1:-1] << _BITS | c[2:])[inside[1:-1]]
+    return np.concatenate([c[inside] + (_NONE << 2 * _BITS | _NONE << _BITS), two + (_NONE << 2 * _BITS), three])
+
+
+def gram_of(key: int) -> str:
+    parts = [key >> 2 * _BITS, key >> _BITS & _NONE, key & _NONE]
+    return "".join(chr(p) if p else " " for p in parts if p != _NONE)
+
+
+def key_of(gram: str) -> int:
+    parts = [_NONE] * (LONGEST - len(gram)) + [0 if c == " " else ord(c) for c in gram]
+    return parts[0] << 2 * _BITS | parts[1] << _BITS | parts[2]
+
+
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, counts = np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts])
+    found, place = np.unique(keys, return_inverse=True)
+    return found, np.bincount(place, counts, len(found)).astype(np.int64)
 
 
 def profiles(docs: DataFrame, size: int = PROFILE) -> DataFrame:
     """(lang, gram, rank from 0) of the languages in ``docs`` (text, lang)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: dict[str, Counter] = {}
-        counts: dict[str, Counter] = {}
-
-        def fold() -> None:
-            for lang, own in words.items():
-                into = counts.setdefault(lang, Counter())
-                for field, n in own.items():
-                    for word in _WORDS.findall(field):
-                        for g in grams(word):
-                            into[g] += n
-            words.clear()
+        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
 
         def send() -> pa.RecordBatch:
-            rows = [(lang, g, n) for lang, own in counts.items() for g, n in own.items()]
-            counts.clear()
+            rows = [(lang, gram_of(k), n) for lang, parts in held.items() for k, n in zip(*(x.tolist() for x in _summed(parts)), strict=True)]
+            held.clear()
             columns = list(zip(*rows, strict=True)) or [[], [], []]
             return pa.RecordBatch.from_arrays([pa.array(list(columns[0]), pa.string()), pa.array(list(columns[1]), pa.string()), pa.array(list(columns[2]), pa.int64())], names=["lang", "gram", "n"])
 
         for batch in batches:
             for first, texts in text_steps(batch, 1):
+                own: dict[str, list[np.ndarray]] = {}
                 for lang, text in zip(batch.column(0).slice(first, len(texts)).to_pylist(), texts, strict=True):
-                    words.setdefault(lang, Counter()).update((text or "").lower().split())
-                if sum(map(len, words.values())) > HELD_WORDS:
-                    fold()
-                    if sum(map(len, counts.values())) > MAX_GRAMS:
-                        yield send()
-        fold()
+                    own.setdefault(lang, []).append(keys_of(text))
+                for lang, parts in own.items():
+                    held.setdefault(lang, []).append(np.unique(np.concatenate(parts), return_counts=True))
+                if sum(len(k) for parts in held.values() for k, _ in parts) > HELD_GRAMS:
+                    yield send()
         yield send()
 
     counted = docs.select(F.col("lang").cast("string"), F.col("text").cast("string")).mapInArrow(run, "lang string, gram string, n bigint")
     summed = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), F.desc(F.crc32(F.col("gram").cast("binary"))), "gram"))
+    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), F.desc(F.length("gram")), "gram"))
     return summed.withColumn("rank", rank - 1).where(F.col("rank") < size).select("lang", "gram", "rank")
 
 
-class Ranker(dict):
-    """Maps a white-space separated field to its n-grams' numbers, and documents to languages."""
+class Ranker:
+    """Compares documents with the profiles of languages."""
 
     def __init__(self, learnt: list[tuple[str, str, int]], size: int = PROFILE) -> None:
         self.size = size
         self.languages = sorted({lang for lang, _, _ in learnt})
-        self.learnt = learnt
-        self._reset()
-
-    def _reset(self) -> None:
-        self.clear()
-        self.number: dict[str, int] = {}
-        self.ties = np.zeros(1 << 12, np.int64)
-        self.ranks = np.full((len(self.languages), 1 << 12), self.size, np.int64)
-        for lang, gram, rank in self.learnt:
-            self.ranks[self.languages.index(lang), self._of(gram)] = rank
-
-    def _of(self, gram: str) -> int:
-        n = self.number.get(gram)
-        if n is None:
-            n = self.number[gram] = len(self.number)
-            if n >= len(self.ties):
-                self.ties = np.concatenate([self.ties, np.zeros_like(self.ties)])
-                self.ranks = np.concatenate([self.ranks, np.full_like(self.ranks, self.size)], axis=1)
-            self.ties[n] = _tie(gram)
-        return n
-
-    def __missing__(self, field: bytes) -> bytes:
-        own = [self._of(g) for word in _WORDS.findall(field.decode()) for g in grams(word)]
-        out = self[field] = np.array(own, np.int32).tobytes()
-        return out
+        self.known = np.unique(np.array([key_of(g) for _, g, _ in learnt], np.int64))
+        self.ranks = np.full((len(self.languages), len(self.known) + 1), size, np.int64)  # the last is for all others
+        for lang, gram, rank in learnt:
+            self.ranks[self.languages.index(lang), np.searchsorted(self.known, key_of(gram))] = rank
 
     def rank(self, text: str | None) -> tuple[str, float]:
-        if len(self) > 400_000 or len(self.number) > MAX_GRAMS:
-            self._reset()
-        own = np.frombuffer(b"".join(map(self.__getitem__, (text or "").lower().encode().split())), np.int32)
-        if not len(own) or not self.languages:
+        keys, counts = np.unique(keys_of(text), return_counts=True)
+        if not len(keys) or not self.languages:
             return UNKNOWN, 0.0
-        counts = np.bincount(own)
-        found = np.flatnonzero(counts)
-        key = counts[found] << 32 | self.ties[found]
-        if len(found) > self.size:
-            top = np.argpartition(-key, self.size - 1)[: self.size]
-            found, key = found[top], key[top]
-        found = found[np.argsort(-key, kind="stable")]
-        profile = self.ranks[:, found]
-        away = np.where(profile == self.size, self.size, np.abs(profile - np.arange(len(found)))).sum(axis=1)
+        if len(keys) > self.size:  # all that may be among the first, ties included
+            least = np.partition(counts, len(counts) - self.size)[len(counts) - self.size]
+            keys, counts = keys[counts >= least], counts[counts >= least]
+        top = keys[np.argsort(-counts, kind="stable")][: self.size]
+        at = np.minimum(np.searchsorted(self.known, top), len(self.known) - 1)
+        profile = self.ranks[:, np.where(self.known[at] == top, at, len(self.known))]
+        away = np.where(profile == self.size, self.size, np.abs(profile - np.arange(len(top)))).sum(axis=1)
         best = int(away.argmin())
-        return self.languages[best], 1.0 - float(away[best]) / (self.size * len(found))
+        return self.languages[best], 1.0 - float(away[best]) / (self.size * len(top))
 
 
 def identified(spark: SparkSession, docs: DataFrame, learning: DataFrame, keep: list[str] | None = None) -> DataFrame:

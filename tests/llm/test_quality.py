@@ -105,17 +105,24 @@ def test_profiles_against_brute_force(spark, small):
         own = counts.setdefault(r["lang"], Counter())
         for w in re.findall(r"[^\W\d_]+", r["text"].lower()):
             own.update(language_id.grams(w))
-    want = {(lang, g, i) for lang, own in counts.items() for i, (g, _) in enumerate(sorted(own.items(), key=lambda x: (-x[1], -language_id._tie(x[0]), x[0]))[: language_id.PROFILE])}
+    want = {(lang, g, i) for lang, own in counts.items() for i, (g, _) in enumerate(sorted(own.items(), key=lambda x: (-x[1], -len(x[0]), x[0]))[: language_id.PROFILE])}
     assert {tuple(r) for r in language_id.profiles(language_id.learning_rows(small)).collect()} == want
     ranker = language_id.Ranker(sorted(want))
     for r in small.limit(30).collect():
         own = Counter(g for w in re.findall(r"[^\W\d_]+", (r["text"] or "").lower()) for g in language_id.grams(w))
-        top = [g for g, _ in sorted(own.items(), key=lambda x: (-x[1], -language_id._tie(x[0])))[: language_id.PROFILE]]
+        top = [g for g, _ in sorted(own.items(), key=lambda x: (-x[1], -len(x[0]), x[0]))[: language_id.PROFILE]]
         away = {lang: sum(abs(ranks[g] - i) if g in ranks else language_id.PROFILE for i, g in enumerate(top)) for lang in counts for ranks in [{g: i for la, g, i in want if la == lang}]}
         if top:
             assert ranker.rank(r["text"])[0] == min(sorted(away), key=away.get)
 
 
+def test_keys_are_the_grams_of_words():
+    for text in (None, "", "a", "Ab c1d_é²", "don't  \n中文 x" * 3, "\U0001d54f\U00010400 İ"):
+        want = Counter(g for w in re.findall(r"[^\W\d_]+", (text or "").lower()) for g in language_id.grams(w))
+        keys = language_id.keys_of(text).tolist()
+        assert Counter(map(language_id.gram_of, keys)) == want and [language_id.key_of(language_id.gram_of(k)) for k in keys] == keys
+
+
 def test_language_of_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     rows = language_id.op8_language_id(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang", "text"), "doc_id").collect()
