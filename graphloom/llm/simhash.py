@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, materialize, per_step
+from .near_copies import kept_rows, text_hash
 
 RADIUS = 2
 SHINGLE = 3
@@ -249,16 +250,17 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays, the one with the smallest identifier; of its repeated rows, one.
+    """The documents without near copies by five-word shingles (``near_copies``); of repeated rows, one stays.
 
     Rows without identifier cannot be named, so they stay.
     """
-    found = near_duplicates(spark, docs)
-    named = found.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("least"), F.count("*").alias("n"))
-    keep = materialize(spark, named.where("doc_id = least").select("doc_id", "n"), "kept_ids")
+    keep = kept_rows(spark, docs)
+    hashed = docs.withColumn("__h", text_hash())
+    on = lambda k: (hashed["doc_id"] == k["doc_id"]) & (hashed["__h"] == k["h"])
     # the hint keeps one plan at every size: identifiers are hashed by partition, texts are not sorted
-    kept = docs.join(keep.where("n = 1").hint("shuffle_hash"), "doc_id", "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))
+    once = keep.where("n = 1").hint("shuffle_hash")
+    kept = hashed.join(once, on(once), "left_semi").unionByName(hashed.where(F.col("doc_id").isNull()))
     again = keep.where("n > 1")
     if not again.isEmpty():
-        kept = kept.unionByName(docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+        kept = kept.unionByName(hashed.join(again, on(again), "left_semi").dropDuplicates(["doc_id"]))
     return kept.select(*docs.columns)
