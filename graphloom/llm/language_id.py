@@ -32,6 +32,8 @@ from .common import documents, learning_fold, text_steps
 PROFILE = 400
 LONGEST = 3
 UNKNOWN = "und"
+#: Share of a language's median score under which the pipeline takes a text for another language or none.
+TYPICAL = 0.6
 #: N-grams that a task holds before it sums them up again.
 HELD_GRAMS = 3_000_000
 _LETTER = re.compile(r"[^\W\d_]")
@@ -135,9 +137,13 @@ class Ranker:
         return self.languages[best], 1.0 - float(away[best]) / (self.size * len(top))
 
 
-def identified(spark: SparkSession, docs: DataFrame, learning: DataFrame, keep: list[str] | None = None) -> DataFrame:
+def learn(learning: DataFrame) -> list[tuple[str, str, int]]:
+    return [(r["lang"], r["gram"], r["rank"]) for r in profiles(learning).collect()]  # PROFILE rows a language
+
+
+def identified(spark: SparkSession, docs: DataFrame, learning: DataFrame, keep: list[str] | None = None, learnt: list[tuple[str, str, int]] | None = None) -> DataFrame:
     """``lang_pred`` and ``score`` of every document, beside its columns ``keep`` (doc_id)."""
-    learnt = [(r["lang"], r["gram"], r["rank"]) for r in profiles(learning).collect()]  # PROFILE rows a language
+    learnt = learn(learning) if learnt is None else learnt
     shared = spark.sparkContext.broadcast(learnt)
     rows = docs.select(F.struct(*(keep or ["doc_id"])).alias("row"), F.col("text").cast("string").alias("text"))
     names = ["row", "lang_pred", "score"]
@@ -164,6 +170,17 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "lang_pred", "score").select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def least_scores(spark: SparkSession, learning: DataFrame, learnt: list[tuple[str, str, int]]) -> dict[str, float]:
+    """For each language ``TYPICAL`` of the median score of all its learning documents."""
+    own = identified(spark, learning, learning, ["lang"], learnt).where("row.lang = lang_pred")
+    return {r["lang_pred"]: TYPICAL * r["m"] for r in own.groupBy("lang_pred").agg(F.percentile_approx("score", 0.5, 10_000).alias("m")).collect()}  # one row a language
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents in a learnt language, with their own columns; those without letters go."""
-    return identified(spark, docs, learning_rows(docs), docs.columns).where(F.col("lang_pred") != UNKNOWN).select("row.*")
+    """The documents in a learnt language, with their own columns; those without letters or far from every profile go."""
+    learning = learning_rows(docs)
+    learnt = learn(learning)
+    least = F.lit(0.0)
+    for lang, score in least_scores(spark, learning, learnt).items():
+        least = F.when(F.col("lang_pred") == lang, score).otherwise(least)
+    return identified(spark, docs, learning, docs.columns, learnt).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("row.*")
