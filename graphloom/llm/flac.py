@@ -84,7 +84,7 @@ def _number(n: int) -> bytes:
         tail.append(128 | n & 63)
         n >>= 6
         first >>= 1
-    return bytes([(0xFE ^ (first << 1 | 1)) & 0xFF | n, *reversed(tail)])
+    return bytes([(0xFF ^ (first << 1 | 1)) & 0xFF | n, *reversed(tail)])
 
 
 def _headers(first: int, count: int) -> list[bytes]:
