@@ -1,4 +1,5 @@
 import math
+import random
 import re
 from collections import Counter
 
@@ -24,29 +25,51 @@ def brute_rules(text):
 NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
 
 
-def test_base_rules(edge, empty, small):
+def test_base_rules(spark, edge, empty, small):
     for df, rows in ((edge, [r[:2] for r in edge_rows()]), (small, [(r["doc_id"], r["text"]) for r in small.collect()])):
-        got = quality_rules.judged(df).select("row.doc_id", *NAMES, "kept").collect()
+        got = quality_rules.judged(spark, df).select("row.doc_id", *NAMES, "kept").collect()
         assert Counter(tuple(r)[:7] for r in got) == Counter((k, *brute_rules(t)) for k, t in rows)
         assert not any(r["kept"] and r["base_failed"] for r in got)
-    assert quality_rules.judged(empty).count() == 0
-    assert quality_rules.quality_stage(None, edge, None).columns == edge.columns
+    assert quality_rules.judged(spark, empty).count() == 0
+    assert quality_rules.quality_stage(spark, edge, None).columns == edge.columns
+    assert quality_rules.quality_stage(spark, edge.select("text", "doc_id"), None).columns == ["text", "doc_id"]
 
 
-def test_log_likelihood_ratio(spark, small):
+def test_repeated_windows_of_long_texts(spark):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abc") for _ in range(n)) for n in (2, 3, 4, 9, 30)]
+    texts += [" ".join(rng.choice("abcdefghijklmnop") for _ in range(n)) for n in (60, 300, 3_000)]
+    texts += ["a b c " * 200_000, "x" * 3_000_000, "\n".join(["same line"] * 50_000)]
+    got = {r["doc_id"]: tuple(r)[1:] for r in quality_rules.judged(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("row.doc_id", *NAMES).collect()}
+    assert got == {i: brute_rules(t) for i, t in enumerate(texts)}
+
+
+def test_scores_cuts_and_verdicts_against_brute_force(spark, small):
+    """The multinomials, the medians of the groups and every verdict, computed again from the buckets."""
     b = quality_rules.BUCKETS
-    rows = quality_rules.measured(small).select("row.doc_id", "buckets", quality_rules.trusted().alias("t")).collect()
+    rows = quality_rules.measured(small, group=F.col("lang")).select("row.doc_id", "group", "buckets", "base_failed", quality_rules.trusted().alias("t")).collect()
     raw, aim = np.ones(b), np.ones(b)
     for r in rows:
-        words = len(r["buckets"])
         np.add.at(raw, r["buckets"], 1)
         if r["t"]:
             np.add.at(aim, r["buckets"], 1)
-        assert words == 0 or words % 2 == 1  # n words and n - 1 pairs
+        assert len(r["buckets"]) == 0 or len(r["buckets"]) % 2 == 1  # n words and n - 1 pairs
     ratio = np.log(aim / aim.sum()) - np.log(raw / raw.sum())
-    want = {r["doc_id"]: float(np.mean(ratio[r["buckets"]])) if r["buckets"] else 0.0 for r in rows}
-    got = {r["doc_id"]: r["score"] for r in quality_rules.op4_quality_rules(spark, SF).collect()}
-    assert all(math.isclose(want[k], got[k], abs_tol=1e-5) for k in want)
+    score = {r["doc_id"]: float(np.mean(ratio[r["buckets"]])) if r["buckets"] else 0.0 for r in rows}
+    own = {}
+    for r in rows:
+        if r["t"]:
+            own.setdefault(r["group"], []).append(score[r["doc_id"]])
+    median = lambda x: sorted(x)[(len(x) - 1) // 2]
+    overall = median([x for v in own.values() for x in v])
+    got = {r["doc_id"]: r for r in quality_rules.op4_quality_rules(spark, SF).collect()}
+    assert len(got) == len(rows) and len(own) > 1
+    for r in rows:
+        k, cut = r["doc_id"], median(own[r["group"]]) if r["group"] in own else overall
+        cut -= quality_rules.MARGIN
+        assert math.isclose(score[k], got[k]["score"], abs_tol=1e-5) and math.isclose(cut, got[k]["cut"], abs_tol=1e-3)
+        if abs(score[k] - cut) > 2e-3:
+            assert got[k]["kept"] == (not r["base_failed"] and score[k] >= cut)
 
 
 def test_clean_documents_stay_and_junk_goes(spark):
@@ -55,9 +78,25 @@ def test_clean_documents_stay_and_junk_goes(spark):
     assert kept[1] >= 0.995 and kept[0] <= 0.1
 
 
+def test_skewed_languages_and_a_hot_source_keep_clean_documents(spark):
+    """A language where half of the documents repeat a line, one where three in four repeat three, and a hot source."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("quality = 1").select("doc_id")
+    line = F.concat(F.lit("\n"), F.substring("text", 1, 60))
+    german = (F.col("lang") == "de") & (F.col("doc_id") % 2 == 0)
+    spanish = (F.col("lang") == "es") & (F.col("doc_id") % 4 != 0)
+    hot = F.col("doc_id") % 3 == 0
+    changed = F.when(german, F.concat("text", line, line)).when(spanish, F.concat("text", *[line] * 3)).otherwise(F.col("text"))
+    skewed = docs.withColumn("text", F.when(hot, F.concat(changed, F.lit("\nAll rights are with the makers of this page"))).otherwise(changed))
+    got = quality_rules.judged(spark, skewed).select("row.doc_id", "base_failed", "kept").join(labels, "doc_id").where("not base_failed")
+    shares = got.join(docs.select("doc_id", "lang"), "doc_id").groupBy("lang").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()
+    assert len(shares) == 4 and all(r["kept"] >= 0.98 for r in shares), shares
+
+
 def test_plan_has_no_python(spark, small):
-    plan = quality_rules.judged(small)._jdf.queryExecution().toString()
-    assert "Python" not in plan and "Arrow" not in plan
+    for df in (quality_rules.measured(small), quality_rules.judged(spark, small)):
+        plan = df._jdf.queryExecution().toString()
+        assert "Python" not in plan and "Arrow" not in plan
 
 
 def test_classifier_on_held_out_rows(spark):
