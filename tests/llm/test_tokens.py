@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from tokenizers import Tokenizer
+from tokenizers import AddedToken, Tokenizer
 
 from graphloom.llm import chunk_bpe, packing, sst, tokens
 
@@ -28,17 +28,64 @@ def test_ids_of_fields(library):
     assert own.ids(None).tolist() == []
 
 
-def test_chunks_agree_with_whole_texts(library, monkeypatch):
+@pytest.fixture(scope="module")
+def spanning(tmp_path_factory):
+    """The vocabulary with added tokens that span white space or strip it."""
+    full = Tokenizer.from_file(tokens.default_tokenizer())
+    full.add_tokens([AddedToken("b the a", normalized=False), AddedToken("<x>", lstrip=True, rstrip=True, normalized=False)])
+    path = str(tmp_path_factory.mktemp("vocabulary") / "spanning.json")
+    full.save(path)
+    return path
+
+
+@pytest.fixture(params=["own", "spanning", "bytes"])
+def vocabulary(request, spanning):
+    import public_tokenizers
+
+    return {"own": tokens.default_tokenizer(), "spanning": spanning, "bytes": public_tokenizers.path("byte_bpe_50k.json")}[request.param]
+
+
+def test_rules_of_vocabularies(spanning):
+    import public_tokenizers
+
+    assert tokens.FieldEncoder(tokens.default_tokenizer()).spaced
+    for path in (spanning, public_tokenizers.path("byte_bpe_50k.json")):
+        own, full = tokens.FieldEncoder(path), Tokenizer.from_file(path)
+        assert not own.spaced
+        for text in ("b the a", " x <x>  y", "a\n\n b ", None):
+            assert own.ids(text).tolist() == full.encode(text or "", add_special_tokens=False).ids
+
+
+def test_chunks_agree_with_whole_texts(vocabulary, monkeypatch):
     rng = random.Random(2)
-    coder = chunk_bpe.ChunkCoder(tokens.default_tokenizer())
+    library = Tokenizer.from_file(vocabulary)
+    coder = chunk_bpe.ChunkCoder(vocabulary)
     monkeypatch.setattr(chunk_bpe, "MASK", 7)  # a cut every eight bytes
-    passage = "".join(rng.choices(LETTERS, k=400))
+    letters = [*LETTERS, "b the a", " <x> ", " b the", " the a ", "b", " a ", "  "]
+    passage = "".join(rng.choices(letters, k=800))
     for _ in range(120):
-        s = "".join(rng.choices(LETTERS, k=rng.randint(0, 200))) + passage + "".join(rng.choices(LETTERS, k=rng.randint(0, 50)))
+        s = "".join(rng.choices(letters, k=rng.randint(0, 200))) + passage + "".join(rng.choices(letters, k=rng.randint(0, 50)))
         ids = library.encode(s, add_special_tokens=False).ids
         assert coder.ids(s) == ids
         assert coder.decoded(s) == library.decode(ids, skip_special_tokens=False)
-    assert coder.reused > coder.made
+    assert coder.reused > coder.made and coder.asked > 120
+
+
+def test_a_token_over_white_space_at_a_join(spanning):
+    """A cut at white space alone would be wrong here, and so would ids of chunks put side by side."""
+    coder, library = chunk_bpe.ChunkCoder(spanning), Tokenizer.from_file(spanning)
+    left, right = b"one two three b the", b" a four five six"
+    a, b = coder.chunk(left), coder.chunk(right)
+    whole = library.encode((left + right).decode(), add_special_tokens=False).ids
+    side = [i for part in (left, right) for i in library.encode(part.decode(), add_special_tokens=False).ids]
+    assert side != whole
+    assert coder.join(a, b) is None  # the unit before the last is inside the token: no agreement yet
+    assert coder.wider([left, right]) == whole and coder.grown == 1
+    pieces = chunk_bpe.chunks(b"no space" * 200)
+    assert b"".join(pieces) == b"no space" * 200
+    for text in ("x" * 5_000, "\u4e2d" * 4_000, "\u00e9 " * 3_000):
+        assert b"".join(chunk_bpe.chunks(text.encode())).decode() == text and coder.ids(text) == library.encode(text, add_special_tokens=False).ids
+        assert all(p.decode() for p in chunk_bpe.chunks(text.encode()))
 
 
 def test_cuts_follow_content():
