@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 from . import tokens
 from .common import documents, per_step
 
-#: Bytes that the rolling hash sees, a mask that gives chunks of about 512 bytes, and the bytes the memos may hold.
+#: Bytes that the rolling hash sees, a mask that gives chunks of about 2,048 bytes, and the bytes the memos may hold.
 WINDOW = 16
-MASK = (1 << 9) - 1
+MASK = (1 << 11) - 1
 MEMO_BYTES = 64_000_000
 #: Fields in each memo of texts.
 MAX_FIELDS = 400_000
@@ -90,16 +90,22 @@ class Chunk(NamedTuple):
 
 
 class _Fields(dict):
-    """A field's ids as decimal text, or as tokens, each with a space behind; bounded like the memo of ids."""
+    """A field's ids as decimal text, or as tokens, each with a space behind; bounded like the memo of ids.
 
-    def __init__(self, encoder: tokens.FieldEncoder, names: list[str]) -> None:
-        self.encoder, self.names = encoder, names
+    Both forms of a new field are made at once: ``other`` is the memo of the other form.
+    """
+
+    def __init__(self, encoder: tokens.FieldEncoder, names: list[bytes], other_names: list[bytes]) -> None:
+        self.encoder, self.names, self.other_names, self.other = encoder, names, other_names, {}
 
     def __missing__(self, field: bytes) -> bytes:
         if len(self) >= MAX_FIELDS:
             self.clear()
-        ids = np.frombuffer(self.encoder.field(field), self.encoder.dtype).tolist()
-        out = self[field] = "".join([self.names[i] for i in ids]).encode()
+        if len(self.other) >= MAX_FIELDS:
+            self.other.clear()
+        ids = memoryview(self.encoder.field(field)).cast(self.encoder.code)
+        out = self[field] = b"".join([self.names[i] for i in ids])
+        self.other[field] = b"".join([self.other_names[i] for i in ids])
         return out
 
 
@@ -110,10 +116,11 @@ class ChunkCoder:
         self.encoder = tokens.FieldEncoder(path)
         self.full = self.encoder.full
         size = self.encoder.size
-        self.numbers = [f"{i} " for i in range(size)]
-        self.names = [f"{self.full.id_to_token(i) or ''} " for i in range(size)]
-        self.decimal = _Fields(self.encoder, self.numbers)
-        self.token = _Fields(self.encoder, self.names)
+        self.numbers = [b"%d " % i for i in range(size)]
+        self.names = [f"{self.full.id_to_token(i) or ''} ".encode() for i in range(size)]
+        self.decimal = _Fields(self.encoder, self.numbers, self.names)
+        self.token = _Fields(self.encoder, self.names, self.numbers)
+        self.decimal.other, self.token.other = self.token, self.decimal
         self.plain_decoder = self.full.decoder is None
         self.memo: dict[bytes, Chunk] = {}
         self.joins: dict[tuple, tuple[bytes, bytes] | None] = {}
@@ -122,7 +129,7 @@ class ChunkCoder:
         self.reused = self.made = self.asked = self.grown = 0
 
     def shown(self, ids: list[int]) -> tuple[bytes, bytes]:
-        return "".join([self.numbers[i] for i in ids]).encode(), "".join([self.names[i] for i in ids]).encode()
+        return b"".join([self.numbers[i] for i in ids]), b"".join([self.names[i] for i in ids])
 
     def units(self, data: bytes) -> list[Unit]:
         """By the library: a unit ends where a field ends and no token goes on; what follows belongs to the last."""
@@ -148,7 +155,7 @@ class ChunkCoder:
                 return Chunk(self.shown([i for u in units for i in u.ids]), (b"", b""), (b"", b""), (none, none), (none, none))
             return Chunk(self.shown(units[0].ids), self.shown([i for u in units[1:-1] for i in u.ids]), self.shown(units[-1].ids), (units[0], units[1]), (units[-2], units[-1]))
         show = lambda own: (b"".join(map(self.decimal.__getitem__, own)), b"".join(map(self.token.__getitem__, own)))
-        ids = lambda field: np.frombuffer(self.encoder.field(field), self.encoder.dtype).tolist()
+        ids = lambda field: memoryview(self.encoder.field(field)).cast(self.encoder.code).tolist()
         one = len(data) - len(data.lstrip()) + len(fields[0])
         two = len(data) - len(data[one:].lstrip()) + len(fields[1])
         end = len(data.rstrip())

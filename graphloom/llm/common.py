@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from graphloom.tables import fresh_path, materialize, shared_dir
 
-__all__ = ["documents", "fresh_path", "learning_fold", "materialize", "per_step", "shared_dir", "shuffle_partitions", "text_steps"]
+__all__ = ["documents", "fresh_path", "learning_fold", "materialize", "per_step", "quoted", "shared_dir", "shuffle_partitions", "text_steps"]
 
 #: Bytes of text that one step of a Python operator holds as words at a time.
 STEP_BYTES = 2_000_000
@@ -24,6 +24,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def quoted(names: list[str]) -> list[str]:
+    """Column names as they are written in expressions, dots included."""
+    return ["`" + n.replace("`", "``") + "`" for n in names]
+
+
 def learning_fold(key: str, modulus: int) -> F.Column:
     """crc32 of the key as text, modulo ``modulus``."""
     return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(modulus))

@@ -9,8 +9,9 @@ frames at a time: one numpy step takes one sample, or one byte, of every frame.
 A payload byte is an unsigned sample; FLAC's samples are signed, so 128 is taken off and put back.
 
 Defined results: a null text is empty, and an empty text is one frame of bytes 255; equal texts have equal streams;
-repeated rows and null identifiers are kept; extra columns are ignored; no rows give no rows. A stream that is cut or
-changed raises ``ValueError``.
+a text of any length is one stream, with some ten times its bytes in memory; repeated rows and null identifiers are kept;
+extra columns are ignored, whatever their names; no rows give no rows. A stream that is cut or changed raises
+``ValueError``.
 """
 
 from __future__ import annotations
@@ -384,11 +385,10 @@ def _layout(stream: bytes) -> tuple[int, int, bytes, list[tuple[int, int]]]:
 
 
 def _frame_starts(stream: bytes, at: int, count: int) -> np.ndarray:
-    """Frames begin with their own header; a chance match inside a frame has another number or checksum."""
+    """Where frames begin, taking each header at its first place: right unless a frame holds the next one's header by chance."""
     starts, i = [], at
-    first = 0
     while len(starts) < count:
-        want = _header(first + len(starts))
+        want = _header(len(starts))
         if not stream.startswith(want, i):
             i = stream.find(want, i)
             if i < 0:
@@ -398,12 +398,50 @@ def _frame_starts(stream: bytes, at: int, count: int) -> np.ndarray:
     return np.array(starts, np.int64)
 
 
+def _checked_starts(stream: bytes, at: int, first: int, count: int, last: bool = True) -> list[int]:
+    """Where frames ``first`` and up begin, and where the last of them ends.
+
+    A frame goes on to the next header before which its CRC-16 is right, so chance matches are passed over. The end
+    of the stream is the end of the ``last`` frame.
+    """
+    starts = [at]
+    if not stream.startswith(_header(first), at):
+        raise ValueError("a frame is missing, or its header is wrong")
+    for n in range(first + 1, first + count + 1):
+        begin = end = starts[-1]
+        crc, done = 0, begin
+        while True:
+            end = len(stream) if last and n == first + count else stream.find(_header(n), max(end + 1, begin + 8))
+            if end < 0:
+                raise ValueError("a frame is missing, or its header or checksum is wrong")
+            for byte in stream[done : end - 2]:
+                crc = (crc << 8 & 0xFFFF) ^ int(_CRC16[crc >> 8 ^ byte])
+            done = max(done, end - 2)
+            if crc == int.from_bytes(stream[end - 2 : end], "big"):
+                break
+            if end == len(stream):
+                raise ValueError("the checksum of a frame is wrong")
+        starts.append(end)
+    return starts
+
+
 def decode_many(streams: list[bytes]) -> list[bytes]:
-    """The payloads of streams; checksums of headers, frames and samples are verified."""
+    """The payloads of streams; checksums of headers, frames and samples are verified.
+
+    Where they fail, frames are looked for once more with their checksums, so that a frame that holds the header of the
+    next by chance is read, and only a damaged stream raises.
+    """
+    layouts = [_layout(s) for s in streams]
+    try:
+        return _decoded(streams, [_frame_starts(s, at, samples // BLOCK) for s, (at, samples, _, _) in zip(streams, layouts, strict=True)], layouts)
+    except ValueError:
+        starts = [np.array(_checked_starts(s, at, 0, samples // BLOCK)[:-1], np.int64) for s, (at, samples, _, _) in zip(streams, layouts, strict=True)]
+        return _decoded(streams, starts, layouts)
+
+
+def _decoded(streams: list[bytes], own_starts: list[np.ndarray], layouts: list[tuple]) -> list[bytes]:
     starts, counts, sums, base = [], [], [], 0
-    for s in streams:
-        at, samples, md5, _ = _layout(s)
-        own = _frame_starts(s, at, samples // BLOCK)
+    for s, own, (_, _, md5, _) in zip(streams, own_starts, layouts, strict=True):
         starts.append(np.append(own, len(s)) + base)
         counts.append(len(own))
         sums.append(md5)
@@ -434,16 +472,12 @@ def read_from(stream: bytes, sample: int, blocks: int = 1) -> list[tuple[int, by
     at, samples, _, seek = _layout(stream)
     frame = sample // BLOCK
     known, offset = max(((s, o) for s, o in seek if s <= sample), default=(0, 0))
-    i, n, starts = at + offset, known // BLOCK, []
-    last = min(frame + blocks, samples // BLOCK)
-    while n <= last and n < samples // BLOCK:
-        i = stream.find(_header(n), i)
-        if i < 0:
-            raise ValueError("a frame is missing, or its header is wrong")
-        starts.append((n, i))
-        i += 8
-        n += 1
-    ends = [s for _, s in starts[1:]] + ([len(stream)] if n >= samples // BLOCK else [])
+    total, first = samples // BLOCK, known // BLOCK
+    last = min(frame + blocks, total)
+    if frame >= last:
+        return []
+    places = _checked_starts(stream, at + offset, first, last - first, last == total)
+    starts, ends = list(enumerate(places[:-1], first)), places[1:]
     own = [(k, s, e) for (k, s), e in zip(starts, ends, strict=False) if frame <= k < last]
     if not own:
         return []

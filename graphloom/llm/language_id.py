@@ -9,9 +9,11 @@ over all learning documents: each task has n-gram counts of its own, and these s
 no language is ever one task's rows. Profiles are ``PROFILE`` rows for each language.
 
 Defined results: a null text, or one without letters, is ``und`` with score 0; of equal counts longer n-grams come first,
-then those of smaller code points, and of equal distances the first language; without learning documents all is ``und``; repeated rows and null
-identifiers are kept, and a null identifier is never held out nor learnt from; extra columns are ignored; no rows give
-no rows. The score is one minus the distance over its greatest value.
+then those of smaller code points, and of equal distances the first language; without learning documents all is
+``und``, and the pipeline's stage keeps every document with a letter; a text of any length is counted in slices of
+``SLICE`` characters; repeated rows and null identifiers are kept, and a null identifier is never held out nor learnt
+from; extra columns are ignored, whatever their names; no rows give no rows. The score is one minus the distance over
+its greatest value.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, learning_fold, text_steps
+from .common import documents, learning_fold, quoted, text_steps
 
 PROFILE = 400
 LONGEST = 3
@@ -36,6 +38,8 @@ UNKNOWN = "und"
 TYPICAL = 0.6
 #: N-grams that a task holds before it sums them up again.
 HELD_GRAMS = 3_000_000
+#: Characters of a text that are arrays at a time.
+SLICE = 1 << 20
 _LETTER = re.compile(r"[^\W\d_]")
 #: Bits of a code point, and what stands before shorter n-grams: no code point.
 _BITS, _NONE = 21, (1 << 21) - 1
@@ -55,15 +59,29 @@ def _letters() -> np.ndarray:
     return out
 
 
-def keys_of(text: str | None) -> np.ndarray:
-    """The n-grams of a text's words as numbers; what is no letter is zero, which pads words."""
-    codes = np.frombuffer((text or "").lower().encode("utf-32-le"), np.uint32)
-    c = np.zeros(len(codes) + 2, np.int64)
-    c[1:-1] = np.where(_letters()[codes], codes, 0)
-    inside = c != 0
-    two = (c[:-1] << _BITS | c[1:])[inside[:-1] | inside[1:]]
-    three = (c[:-2] << 2 * _BITS | c[1:-1] << _BITS | c[2:])[inside[1:-1]]
-    return np.concatenate([c[inside] + (_NONE << 2 * _BITS | _NONE << _BITS), two + (_NONE << 2 * _BITS), three])
+def keys_of(text: str | None) -> Iterator[np.ndarray]:
+    """The n-grams of a text's words as numbers, by slices; what is no letter is zero, which pads words."""
+    low = (text or "").lower()
+    for at in range(0, len(low), SLICE):
+        # one character more on either side: a slice has the n-grams that end or have their middle in it
+        part = low[max(at - 1, 0) : at + SLICE + 1]
+        codes = np.frombuffer(part.encode("utf-32-le"), np.uint32)
+        before = int(at > 0)
+        n = min(SLICE, len(low) - at)
+        c = np.zeros(n + 2, np.int64)
+        c[1 - before : 1 - before + len(codes)] = np.where(_letters()[codes], codes, 0)
+        here = c[1:-1] != 0
+        two = (c[:-2] << _BITS | c[1:-1])[(c[:-2] != 0) | here]
+        if at + SLICE >= len(low) and here[-1]:  # the last letter and the end
+            two = np.append(two, c[-2] << _BITS)
+        three = (c[:-2] << 2 * _BITS | c[1:-1] << _BITS | c[2:])[here]
+        yield np.concatenate([c[1:-1][here] + (_NONE << 2 * _BITS | _NONE << _BITS), two + (_NONE << 2 * _BITS), three])
+
+
+def counted(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams of a text, sorted, and how often each stands there."""
+    parts = [np.unique(k, return_counts=True) for k in keys_of(text)]
+    return parts[0] if len(parts) == 1 else _summed(parts)
 
 
 def gram_of(key: int) -> str:
@@ -77,6 +95,8 @@ def key_of(gram: str) -> int:
 
 
 def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     keys, counts = np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts])
     found, place = np.unique(keys, return_inverse=True)
     return found, np.bincount(place, counts, len(found)).astype(np.int64)
@@ -98,17 +118,21 @@ def profiles(docs: DataFrame, size: int = PROFILE) -> DataFrame:
             for first, texts in text_steps(batch, 1):
                 own: dict[str, list[np.ndarray]] = {}
                 for lang, text in zip(batch.column(0).slice(first, len(texts)).to_pylist(), texts, strict=True):
-                    own.setdefault(lang, []).append(keys_of(text))
+                    for keys in keys_of(text):
+                        own.setdefault(lang, []).append(keys)
+                        if len(keys) > SLICE:
+                            held.setdefault(lang, []).append(np.unique(np.concatenate(own.pop(lang)), return_counts=True))
                 for lang, parts in own.items():
                     held.setdefault(lang, []).append(np.unique(np.concatenate(parts), return_counts=True))
                 if sum(len(k) for parts in held.values() for k, _ in parts) > HELD_GRAMS:
                     yield send()
         yield send()
 
-    counted = docs.select(F.col("lang").cast("string"), F.col("text").cast("string")).mapInArrow(run, "lang string, gram string, n bigint")
-    summed = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    sent = docs.select(F.col("lang").cast("string"), F.col("text").cast("string")).mapInArrow(run, "lang string, gram string, n bigint")
+    summed = sent.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), F.desc(F.length("gram")), "gram"))
-    return summed.withColumn("rank", rank - 1).where(F.col("rank") < size).select("lang", "gram", "rank")
+    # a plain limit on the row number: each task keeps its first rows of a language before they are dealt out
+    return summed.withColumn("rank", rank).where(F.col("rank") <= size).select("lang", "gram", (F.col("rank") - 1).alias("rank"))
 
 
 class Ranker:
@@ -123,7 +147,7 @@ class Ranker:
             self.ranks[self.languages.index(lang), np.searchsorted(self.known, key_of(gram))] = rank
 
     def rank(self, text: str | None) -> tuple[str, float]:
-        keys, counts = np.unique(keys_of(text), return_counts=True)
+        keys, counts = counted(text)
         if not len(keys) or not self.languages:
             return UNKNOWN, 0.0
         if len(keys) > self.size:  # all that may be among the first, ties included
@@ -145,7 +169,7 @@ def identified(spark: SparkSession, docs: DataFrame, learning: DataFrame, keep:
     """``lang_pred`` and ``score`` of every document, beside its columns ``keep`` (doc_id)."""
     learnt = learn(learning) if learnt is None else learnt
     shared = spark.sparkContext.broadcast(learnt)
-    rows = docs.select(F.struct(*(keep or ["doc_id"])).alias("row"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.struct(*quoted(keep or ["doc_id"])).alias("row"), F.col("text").cast("string").alias("text"))
     names = ["row", "lang_pred", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,9 +201,14 @@ def least_scores(spark: SparkSession, learning: DataFrame, learnt: list[tuple[st
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents in a learnt language, with their own columns; those without letters or far from every profile go."""
+    """The documents in a learnt language, with their own columns; those without letters or far from every profile go.
+
+    Where nothing could be learnt no language is known to be wrong, so only documents without letters go.
+    """
     learning = learning_rows(docs)
     learnt = learn(learning)
+    if not learnt:
+        return docs.where(F.col("text").cast("string").rlike("\\p{L}"))
     least = F.lit(0.0)
     for lang, score in least_scores(spark, learning, learnt).items():
         least = F.when(F.col("lang_pred") == lang, score).otherwise(least)

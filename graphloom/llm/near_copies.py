@@ -1,14 +1,25 @@
-"""Near copies: texts whose sets of five-word shingles have a Jaccard similarity of at least 0.8.
-
-``BANDS`` MinHash bands of ``ROWS`` values find candidates: two texts of similarity 0.8 share no band in 4 of 10,000
-cases, nearer ones far less often. Every candidate is then decided by the exact similarity of its shingles, so none
-goes by an estimate. Of two near copies the one with the greater identifier goes.
-
-Members of a band are compared with leaders, not with each other: in each round some members (one, then four, 16 ...)
-are compared with all others, then they and what went leave the band, until no band has two members left. So no two
-texts that share a band and stay are near copies, a group of n copies costs n comparisons, and no group is one task's rows.
-
-Equal texts count once. Nothing but emptiness tests comes to the driver.
+"""The pipeline's dedup stage: texts whose sets of five-word shingles have a Jaccard similarity of at least 0.8.
+
+Two fingerprints of 64 bits tell copies apart from texts with some changed words, but not those of similarity 0.8 from
+others: they differ in about ten bits, give or take three, and no exact search within so many bits is selective. So
+candidates come from two sources: groups of the SimHash operator (fingerprints of five-word shingles, links by
+bit-sliced comparison), and ``BANDS`` bands of ``ROWS`` minima of the shingles' hashes: two texts of similarity 0.8
+share no band in 7 of 10,000 cases, nearer ones far less often. Every candidate is then decided by the exact similarity
+of its shingles, so none goes by an estimate.
+
+Members of a group or band are compared with leaders, not with each other: in each round some members (one, then four,
+16 ...) are compared with all others, then they and what went leave, until no group has two members left. A leader
+is a member whose groups are the largest, as the middle of a cluster of copies is; of two near copies the one that is
+less so, or has the greater identifier, goes. So no two texts that stay and share a group are near copies, a group of
+n copies costs n comparisons, and no group is one task's rows.
+
+Equal texts count once, and the smallest identifier stands for them; a null one comes last. Nothing but emptiness
+tests comes to the driver.
+
+Defined results: a null text is empty, and all texts without words are equal or near copies; a shorter text than five
+words is one shingle; a text of any length is a set of 8 bytes a word; unlike texts under one identifier, or under none,
+all stay, and of rows with equal identifier and text one stays, chosen by a hash of its columns; extra columns are kept,
+whatever their names; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -21,30 +32,37 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, per_step
+from . import simhash
+from .common import materialize, per_step, quoted
 
 WORDS = 5
 #: The least similarity, as a ratio.
 LEAST = (4, 5)
-BANDS, ROWS = 20, 5
+BANDS, ROWS = 40, 8
 SEED = 42
 #: Values of shingles that are multiplied at a time.
-STEP = 512
+STEP = 256
 _FACTORS = np.random.default_rng(SEED).integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingles(text: str | None) -> np.ndarray:
-    """Hashes of the distinct runs of ``WORDS`` words, sorted; a shorter text is one run."""
-    words = (text or "").encode().lower().split()  # bytes: only A-Z are lowered, only ASCII white space splits
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.array([xxhash.xxh64_intdigest(w, SEED) for w in words], np.uint64)
+def runs_of(text: str | None) -> np.ndarray:
+    """Hashes of the runs of ``WORDS`` words, in order and with repeats; a shorter text is one run."""
+    hashed = xxhash.xxh64_intdigest
+    parts = [np.array([hashed(w, SEED) for w in words], np.uint64) for words in simhash.word_slices(text)]
+    h = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+    if not len(h):
+        return h
     n = min(WORDS, len(h))
     runs = np.full(len(h) - n + 1, n, np.uint64)
     for i in range(n):
         runs = (runs ^ runs >> np.uint64(29)) * _MIX + h[i : len(h) - n + 1 + i]
-    return np.unique((runs ^ runs >> np.uint64(32)) * _MIX)
+    return (runs ^ runs >> np.uint64(32)) * _MIX
+
+
+def shingles(text: str | None) -> np.ndarray:
+    """Hashes of the distinct runs, sorted."""
+    return np.unique(runs_of(text))
 
 
 def bands_of(own: np.ndarray) -> list[int]:
@@ -67,20 +85,35 @@ def text_hash() -> F.Column:
     return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
+def key_of() -> F.Column:
+    """What tells rows of different identifier or text apart: (nameless, doc_id, h); null identifiers come last."""
+    doc_id = F.col("doc_id").cast("bigint")
+    return F.struct(doc_id.isNull().cast("int").alias("nameless"), F.coalesce(doc_id, F.lit(0).cast("bigint")).alias("doc_id"), text_hash().alias("h"))
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, digest, size, bands) of every row."""
+    """(nameless, doc_id, h, digest, size, fp, bands) of every row."""
+    names = ["nameless", "doc_id", "h", "digest"]
+
+    def print_of(runs: np.ndarray) -> int:
+        votes = simhash.Votes()
+        votes.add(runs)
+        return votes.fingerprint() if len(runs) else 0
 
     def make():
         def work(keys: list, texts: list) -> dict:
-            sets = [shingles(t) for t in texts]
-            return {**{c: [k[c] for k in keys] for c in ("doc_id", "h", "digest")}, "size": [len(s) for s in sets], "bands": [bands_of(s) for s in sets]}
+            runs = [runs_of(t) for t in texts]
+            sets = [np.unique(r) for r in runs]
+            own = {"size": [len(s) for s in sets], "fp": np.array([print_of(r) for r in runs], np.uint64).view(np.int64), "bands": [bands_of(s) for s in sets]}
+            return {**{c: [k[c] for k in keys] for c in names}, **own}
 
         return work
 
-    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("digest", pa.string()), ("size", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("nameless", pa.int32()), ("doc_id", pa.int64()), ("h", pa.int64()), ("digest", pa.string()), ("size", pa.int64()), ("fp", pa.int64()), ("bands", pa.list_(pa.int64()))])
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    key = F.struct(F.col("doc_id").cast("bigint").alias("doc_id"), text_hash().alias("h"), F.md5(text.cast("binary")).alias("digest"))
-    return docs.select(key.alias("key"), text.alias("text")).mapInArrow(per_step(make, schema), "doc_id bigint, h bigint, digest string, size bigint, bands array<bigint>")
+    key = key_of().withField("digest", F.md5(text.cast("binary")))
+    shape = "nameless int, doc_id bigint, h bigint, digest string, size bigint, fp bigint, bands array<bigint>"
+    return docs.select(key.alias("key"), text.alias("text")).mapInArrow(per_step(make, schema), shape)
 
 
 def _near_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,40 +130,67 @@ def _near_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(2).take(pa.array(found, pa.int64()))], names=["me"])
 
 
+def _crowded(rows: DataFrame) -> DataFrame:
+    """The rows of bands that have two members or more."""
+    return rows.join(rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band"), "band", "left_semi")
+
+
+def candidates(spark: SparkSession, contents: DataFrame) -> DataFrame:
+    """(band, me, size, standing) of all that share a band or a SimHash group; the largest crowds have the least standing."""
+    root = simhash.groups(spark, contents.select("fp"))
+    grouped = contents.join(root, "fp").select("me", "size", F.xxhash64("root", F.lit("simhash")).alias("band"))
+    rows = contents.select("me", "size", F.explode("bands").alias("band")).unionByName(grouped)
+    sizes = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    rows = materialize(spark, rows.join(sizes, "band"), "band_members")
+    standing = rows.groupBy("me").agg((-F.sum("n")).alias("standing"))
+    return materialize(spark, rows.join(standing, "me").select("band", "me", "size", "standing"), "bands")
+
+
 def gone(spark: SparkSession, docs: DataFrame, contents: DataFrame) -> DataFrame:
-    """The texts (me) of ``contents`` (me: struct of doc_id and h, size, bands) that are near copies of an earlier one."""
-    rows = contents.select("me", "size", F.explode("bands").alias("band"))
-    crowded = lambda r: r.join(r.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band"), "band", "left_semi")
-    rows = materialize(spark, crowded(rows), "bands")
+    """The texts (me) of ``contents`` (me: the key's struct; size, fp, bands) that are near copies of one that goes before."""
+    rows = candidates(spark, contents)
     went, texts, leaders = None, None, 1
     while not rows.isEmpty():
         if texts is None:
-            own = docs.select(F.struct(F.col("doc_id").cast("bigint").alias("doc_id"), text_hash().alias("h")).alias("me"), F.col("text").cast("string").alias("text"))
+            own = docs.select(key_of().alias("me"), F.col("text").cast("string").alias("text"))
             wanted = rows.select("me").distinct().hint("shuffle_hash")
             texts = materialize(spark, own.join(wanted, "me", "left_semi").groupBy("me").agg(F.first("text").alias("text")), "candidate_texts")
-        lead = rows.groupBy("band", F.pmod("me.h", F.lit(leaders)).alias("sub")).agg(F.min(F.struct("me", "size")).alias("lead"))
-        lead = materialize(spark, lead.select("band", "lead.me", "lead.size").toDF("band", "other", "other_size"), "leaders")
-        pairs = rows.join(lead, "band").where((F.col("me") != F.col("other")) & (LEAST[1] * F.least("size", "other_size") >= LEAST[0] * F.greatest("size", "other_size")))
-        pairs = pairs.select(F.least("me", "other").alias("a"), F.greatest("me", "other").alias("b")).distinct()
+        place = F.struct("standing", "me")
+        lead = rows.groupBy("band", F.pmod("me.h", F.lit(leaders)).alias("sub")).agg(F.min(F.struct(place.alias("place"), "size")).alias("lead"))
+        lead = materialize(spark, lead.select("band", "lead.place", "lead.size").toDF("band", "other", "other_size"), "leaders")
+        alike = LEAST[1] * F.least("size", "other_size") >= LEAST[0] * F.greatest("size", "other_size")
+        pairs = rows.withColumn("place", place).join(lead, "band").where((F.col("place") != F.col("other")) & alike)
+        pairs = pairs.select(F.least("place", "other")["me"].alias("a"), F.greatest("place", "other")["me"].alias("b")).distinct()
         later = pairs.join(texts.toDF("b", "text_b"), "b")
         both = later.join(texts.toDF("a", "text_a"), "a")
         found = materialize(spark, both.select("text_a", "text_b", F.col("b").alias("me")).mapInArrow(_near_pairs, contents.select("me").schema).distinct(), "near_copies")
         went = found if went is None else went.unionByName(found)
-        rest = rows.join(lead.select("band", F.col("other").alias("me")), ["band", "me"], "left_anti").join(found, "me", "left_anti")
-        rows = materialize(spark, crowded(rest), "bands")
+        rest = rows.join(lead.select("band", F.col("other.me").alias("me")), ["band", "me"], "left_anti").join(found, "me", "left_anti")
+        rows = materialize(spark, _crowded(rest), "bands")
         leaders *= 4
     return contents.select("me").limit(0) if went is None else went.distinct()
 
 
 def kept_rows(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """(doc_id, h, n) of the rows that stay among those with identifiers, and how often each stands there.
-
-    Of equal texts the smallest identifier stays; of several texts that stay under one identifier, one.
-    """
-    found = materialize(spark, sketches(docs.where("doc_id is not null")), "sketches")
-    contents = found.groupBy("digest").agg(F.min(F.struct("doc_id", "h")).alias("me"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    """(me, n) of the texts that stay, by identifier, and how many equal rows each has."""
+    found = materialize(spark, sketches(docs), "sketches")
+    me = F.struct("nameless", "doc_id", "h")
+    contents = found.groupBy("digest").agg(F.min(me).alias("me"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
     contents = materialize(spark, contents.drop("digest"), "distinct_texts")
     stay = contents.select("me").join(gone(spark, docs, contents), "me", "left_anti")
-    one = stay.groupBy("me.doc_id").agg(F.min("me.h").alias("h"))
-    times = found.groupBy("doc_id", "h").agg(F.count("*").alias("n"))
-    return materialize(spark, one.join(times, ["doc_id", "h"]), "kept_rows")
+    times = found.groupBy(me.alias("me")).agg(F.count("*").alias("n"))
+    return materialize(spark, stay.join(times, "me"), "kept_rows")
+
+
+def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents without near copies by five-word shingles; of rows with equal identifier and text, one stays."""
+    keep = kept_rows(spark, docs)
+    names = quoted(docs.columns)
+    rows = docs.select(key_of().alias("me"), F.struct(*names).alias("row"))
+    # the hint keeps one plan at every size: keys are hashed by partition, texts are not sorted
+    kept = rows.join(keep.where("n = 1").select("me").hint("shuffle_hash"), "me", "left_semi")
+    again = keep.where("n > 1")
+    if not again.isEmpty():
+        repeated = rows.join(again.select("me").hint("shuffle_hash"), "me", "left_semi").groupBy("me")
+        kept = kept.unionByName(repeated.agg(F.min_by("row", F.xxhash64(*[f"row.{n}" for n in names])).alias("row")))
+    return kept.select("row.*")

@@ -31,7 +31,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialize
+from .common import documents, materialize, quoted
 
 BUCKETS = 8_192
 GROUPS = 1_024
@@ -79,7 +79,7 @@ def measured(docs: DataFrame, keep: list[str] | None = None, group: Column | Non
     comparing them is compiled code.
     """
     named = docs.select(
-        F.struct(*(keep or ["doc_id"])).alias("row"),
+        F.struct(*quoted(keep or ["doc_id"])).alias("row"),
         F.pmod(F.xxhash64(F.lit("") if group is None else group.cast("string")), F.lit(GROUPS)).cast("int").alias("group"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )

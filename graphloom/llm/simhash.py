@@ -10,13 +10,15 @@ each member, never all its pairs. Links are then joined by the large-star and sm
 
 Equal fingerprints count once, so groups of copies cost one member. Nothing but counts comes to the driver.
 
-Defined results: a null or empty text has fingerprint zero; documents with null identifiers keep their rows and
-take part by fingerprint; repeated rows are kept; extra columns are ignored; no rows give no rows. If a component has
-no identifier at all its component_id is null.
+Defined results: a null or empty text has fingerprint zero; a text of any length is hashed in slices of ``SLICE``
+bytes; documents with null identifiers keep their rows and take part by fingerprint; repeated rows are kept; extra
+columns are ignored, whatever their names; no rows give no rows. If a component has no identifier at all its
+component_id is null.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,13 +28,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, materialize, per_step
-from .near_copies import kept_rows, text_hash
 
 RADIUS = 2
 SHINGLE = 3
 SEED = 42
+_SPACE = re.compile(rb"[ \t\n\r\x0b\x0c]")
 #: Members of a group that one task compares without dealing them out again.
 GROUP_LIMIT = 8_192
+#: Bytes of a text that are words at a time.
+SLICE = 4_000_000
 #: Queries compared at a time.
 QUERIES = 512
 QUARTERS = [(0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3)]
@@ -40,23 +44,46 @@ QUARTERS = [(0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3)]
 THIRDS = [(0, 11), (11, 11), (22, 10)]
 
 
+class Votes:
+    """How many hashes have each bit set, of all that were added."""
+
+    def __init__(self) -> None:
+        self.ones, self.n = np.zeros(64, np.int64), 0
+
+    def add(self, h: np.ndarray) -> None:
+        self.n += len(h)
+        for at in range(0, len(h), 65_536):
+            part = np.ascontiguousarray(h[at : at + 65_536], "<u8")
+            self.ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+    def fingerprint(self) -> int:
+        """The bits that are set in more than half."""
+        return int(np.packbits(2 * self.ones > self.n, bitorder="little").view("<u8")[0])
+
+
+def word_slices(text: str | None) -> Iterator[list[bytes]]:
+    """The words of a text, some at a time. Only A-Z are lowered and only ASCII white space splits, as these are bytes."""
+    data = (text or "").encode()
+    at = 0
+    while at < len(data):
+        found = _SPACE.search(data, at + SLICE) if at + SLICE < len(data) else None
+        end = found.start() if found else len(data)
+        yield data[at:end].lower().split()
+        at = end
+
+
 def fingerprint(text: str | None, words_per_shingle: int = SHINGLE) -> int:
-    words = (text or "").encode().lower().split()  # bytes: only A-Z are lowered, only ASCII white space splits
-    if not words:
-        return 0
-    n = words_per_shingle
+    n, votes, words = words_per_shingle, Votes(), []
     hashed = xxhash.xxh64_intdigest
-    if len(words) < n:
-        values = [hashed(b" ".join(words), SEED)]
-    else:
-        runs = [words[i : len(words) - n + 1 + i] for i in range(n)]
-        values = [hashed(s, SEED) for s in map(b" ".join, zip(*runs, strict=True))]
-    h = np.array(values, "<u8")
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(h), 65_536):
-        part = h[at : at + 65_536]
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
+    for part in word_slices(text):
+        words += part
+        if len(words) >= n:
+            runs = [words[i : len(words) - n + 1 + i] for i in range(n)]
+            votes.add(np.array([hashed(s, SEED) for s in map(b" ".join, zip(*runs, strict=True))], "<u8"))
+            words = words[len(words) - n + 1 :]
+    if words and not votes.n:
+        votes.add(np.array([hashed(b" ".join(words), SEED)], "<u8"))
+    return votes.fingerprint() if votes.n else 0
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -232,13 +259,18 @@ def components(spark: SparkSession, edges: DataFrame, rounds: int = 60) -> DataF
     raise RuntimeError("the components did not settle")
 
 
+def groups(spark: SparkSession, prints: DataFrame) -> DataFrame:
+    """(fp, root) of every distinct fingerprint in ``prints``; root is the smallest of its component."""
+    distinct = prints.select("fp").distinct()
+    roots = components(spark, links(spark, distinct))
+    return distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id) of every row."""
     prints = materialize(spark, fingerprints(docs), "fingerprints")
     firsts = materialize(spark, prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct_fingerprints")
-    roots = components(spark, links(spark, firsts.select("fp")))
-    tree = firsts.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    tree = materialize(spark, tree, "trees")
+    tree = materialize(spark, firsts.join(groups(spark, firsts), "fp"), "trees")
     least = tree.groupBy("root").agg(F.min("first").alias("component_id"))
     members = tree.join(least, "root").select("fp", "component_id")
     return prints.join(members, "fp").select("doc_id", "fp", "component_id")
@@ -247,20 +279,3 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(spark, documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without near copies by five-word shingles (``near_copies``); of repeated rows, one stays.
-
-    Rows without identifier cannot be named, so they stay.
-    """
-    keep = kept_rows(spark, docs)
-    hashed = docs.withColumn("__h", text_hash())
-    on = lambda k: (hashed["doc_id"] == k["doc_id"]) & (hashed["__h"] == k["h"])
-    # the hint keeps one plan at every size: identifiers are hashed by partition, texts are not sorted
-    once = keep.where("n = 1").hint("shuffle_hash")
-    kept = hashed.join(once, on(once), "left_semi").unionByName(hashed.where(F.col("doc_id").isNull()))
-    again = keep.where("n > 1")
-    if not again.isEmpty():
-        kept = kept.unionByName(hashed.join(again, on(again), "left_semi").dropDuplicates(["doc_id"]))
-    return kept.select(*docs.columns)

@@ -28,6 +28,24 @@ def test_streams_are_lossless():
         flac.encode(b"abc")
 
 
+def test_a_frame_that_holds_the_next_header_by_chance():
+    rng = np.random.default_rng(7)
+    noise = bytearray(rng.integers(0, 256, 576 * 4, dtype=np.uint8).tobytes())
+    for frame, inside in ((0, 1), (0, 1), (1, 2), (2, 3)):
+        at = 576 * frame + 100 + 60 * (noise[576 * frame + 100] ^ 0x80 == 0xFF)
+        header = flac._header(inside)
+        noise[at : at + len(header)] = bytes(b ^ 0x80 for b in header)  # such frames are stored as they are
+    own = bytes(noise)
+    stream = flac.encode(own)
+    assert all(stream.count(flac._header(n)) >= 2 for n in (1, 2, 3))
+    assert flac.decode_many([stream, flac.encode(b"z" * 576)]) == [own, b"z" * 576]
+    assert [flac.read_from(stream, 576 * i) for i in range(4)] == [[(576 * i, own[576 * i : 576 * i + 576])] for i in range(4)]
+    damaged = bytearray(stream)
+    damaged[-40] ^= 1
+    with pytest.raises(ValueError):
+        flac.decode_many([bytes(damaged)])
+
+
 def test_seek():
     p = flac.payload_of("some words to seek in " * 9_000)[1]
     s = flac.encode(p)

@@ -155,11 +155,14 @@ def test_profiles_against_brute_force(spark, small):
             assert ranker.rank(r["text"])[0] == min(sorted(away), key=away.get)
 
 
-def test_keys_are_the_grams_of_words():
+def test_keys_are_the_grams_of_words(monkeypatch):
     for text in (None, "", "a", "Ab c1d_é²", "don't  \n中文 x" * 3, "\U0001d54f\U00010400 İ"):
         want = Counter(g for w in re.findall(r"[^\W\d_]+", (text or "").lower()) for g in language_id.grams(w))
-        keys = language_id.keys_of(text).tolist()
-        assert Counter(map(language_id.gram_of, keys)) == want and [language_id.key_of(language_id.gram_of(k)) for k in keys] == keys
+        for size in (1 << 20, 1, 2, 5):
+            monkeypatch.setattr(language_id, "SLICE", size)
+            keys = [k for part in language_id.keys_of(text) for k in part.tolist()]
+            assert Counter(map(language_id.gram_of, keys)) == want and [language_id.key_of(language_id.gram_of(k)) for k in keys] == keys
+            assert dict(zip(*(x.tolist() for x in language_id.counted(text)), strict=True)) == Counter(keys)
 
 
 def test_language_of_held_out_rows(spark):
@@ -179,3 +182,10 @@ def test_language_edges(spark, edge, empty):
     assert language_id.language_stage(spark, edge, "").columns == edge.columns
     assert language_id.identified(spark, edge, empty.select("lang", "text")).where("lang_pred <> 'und'").count() == 0
     assert language_id.identified(spark, empty, language_id.learning_rows(edge)).count() == 0
+    unknown = edge.withColumn("lang", F.lit(None).cast("string"))
+    stay = language_id.language_stage(spark, unknown, "")  # nothing learnt: all with letters stay
+    assert stay.columns == edge.columns and stay.count() == sum(bool(re.search(r"[^\W\d_]", r[1] or "")) for r in edge_rows())
+
+
+def test_profiles_are_limited_before_they_are_dealt_out(small):
+    assert "WindowGroupLimit" in language_id.profiles(language_id.learning_rows(small))._jdf.queryExecution().optimizedPlan().toString()

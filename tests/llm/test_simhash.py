@@ -1,13 +1,18 @@
+import random
 from collections import Counter
 
 import numpy as np
 import xxhash
 
-from graphloom.llm import simhash
+from graphloom.llm import near_copies, simhash
 
 from .conftest import SF, edge_rows
 
 
+def similar(a, b):
+    return near_copies.near(near_copies.shingles(a), near_copies.shingles(b))
+
+
 def brute_print(text):
     words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
     if not words:
@@ -55,12 +60,15 @@ def test_edges(spark, edge, empty):
 
 
 def test_dedup_stage(spark, edge, empty):
-    stay = simhash.dedup_stage(spark, edge, "")
+    stay = near_copies.dedup_stage(spark, edge, "")
     assert stay.columns == edge.columns
-    want = {k for k, _, c in brute([r[:2] for r in edge_rows()]) if k is not None and k == c}
-    got = Counter(r["doc_id"] for r in stay.collect())
-    assert {k for k in got if k is not None} == want and max(n for k, n in got.items() if k is not None) == 1 and got[None] == 2
-    assert simhash.dedup_stage(spark, empty, "").count() == 0
+    got = Counter((r["doc_id"], r["text"]) for r in stay.collect())
+    assert max(got.values()) == 1
+    texts = {(t or "") for _, t, *_ in edge_rows()}
+    kept = {t or "" for _, t in got}
+    assert kept <= texts and all(t in kept or any(similar(t, x) for x in kept) for t in texts)
+    assert not any(similar(a, b) for a in kept for b in kept if a < b)
+    assert near_copies.dedup_stage(spark, empty, "").count() == 0
 
 
 def _clusters(rng, n=300, each=12):
@@ -94,3 +102,12 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 200)] + [(500, 600), (600, 700), (700, 500)], "a long, b long")
     got = {r["node"]: r["root"] for r in simhash.components(spark, edges).collect()}
     assert {got[i] for i in range(1, 201)} == {0} and got[600] == got[700] == 500
+
+
+def test_long_texts_are_hashed_in_slices(monkeypatch):
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(["a", "bc", "déf", "g\u00a0h"]) for _ in range(n)) + rng.choice(["", " \n"]) for n in (0, 1, 2, 3, 4, 50, 700)]
+    whole = [(simhash.fingerprint(t), simhash.fingerprint(t, 5), near_copies.shingles(t).tolist()) for t in texts]
+    for size in (1, 3, 40):
+        monkeypatch.setattr(simhash, "SLICE", size)
+        assert [(simhash.fingerprint(t), simhash.fingerprint(t, 5), near_copies.shingles(t).tolist()) for t in texts] == whole

@@ -90,7 +90,7 @@ def test_a_token_over_white_space_at_a_join(spanning):
 
 def test_cuts_follow_content():
     rng = random.Random(4)
-    passage = bytes(rng.choices(range(32, 127), k=6_000))
+    passage = bytes(rng.choices(range(32, 127), k=60_000))
     first, second = chunk_bpe.cuts(b"x" * 100 + passage), chunk_bpe.cuts(b"y" * 777 + passage)
     shared = {c - 100 for c in first if c > 200} & {c - 777 for c in second if c > 877}
     assert len(shared) >= len(first) - 2 > 3
