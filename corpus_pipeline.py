@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.llm.common import documents, materialize
 from graphloom.llm.language_id import language_stage
+from graphloom.llm.near_copies import dedup_stage
 from graphloom.llm.packing import pack
 from graphloom.llm.quality_rules import quality_stage
-from graphloom.llm.simhash import dedup_stage
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
