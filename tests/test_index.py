@@ -244,3 +244,92 @@ def test_extractors_on_odd_files():
     for language in ("python", "java", "typescript", "go", None):
         for text in (None, "", "\n", "}}}{{{", "\x00", "def f(:"):
             extract.extract_file("x", language, text)
+
+
+JAVA = '''package com.acme;
+import static java.util.List.*;
+/* class No { */
+@Service("x{")
+public class Auth extends Base<String, Map<A, B>> {
+    private final List<String> names = new ArrayList<>();
+    int[] xs = {1, 2};
+    public Auth(@Named("a") final String user) { this.user = user; }
+    @Override
+    public static <T> Map<String, T> login(
+        String user, int... n) throws IOException {
+        // if (foo) {
+        Foo f = new Foo(); String s = "}";
+        if (check(user)) { return f.go(1); }
+        return null;
+    }
+    abstract int nobody(int a);
+    interface Inner { default void x() { } }
+}
+'''
+TYPESCRIPT = '''import { token as t, type Other } from './token';
+import Def from "pkg";
+export interface AuthPort { x(): void }
+type Alias<T> = T | { a: string };
+export default abstract class Auth<T> extends Base {
+  private x = (a) => { return 1; };
+  constructor(private readonly a: string) { super(); }
+  async login(user: string, opts: { a: number } = {a: 1}, ...rest: any[]): Promise<Map<string, number>> {
+    const c: Store = new Store(1);
+    return token(user);
+  }
+  private static _s<T>(a?: number): { b: string } { return f(a); }
+  abstract nobody(): void;
+}
+export const makeToken = async (n: number, g = (a, b) => 1): string => `${n} class X {`;
+export function _logout<T>(a = 5): void {}
+export const API_URL = 'x';
+let v = new Foo.Bar();
+'''
+GO = '''package main
+import (
+	"fmt"
+	m "math"
+)
+const MaxRetries = 3
+type Service struct {
+	x func(a int) int
+}
+func Login(user string, a, b int, rest ...string) bool { s := &Service{}; return Verify(user) }
+func (s *Service) Verify(user string) (bool, error) { return true, nil }
+func () odd() {}
+var raw = `func Nope() {`
+'''
+
+
+def declared(language, text):
+    rows = extract.extract_file("web/auth.x", language, text)
+    return {(s["kind"], s["qualified_name"]): s for r, s, *_ in rows if r == "symbol"}, {tuple(r[2:]) for r in rows if r[0] in ("import", "alias", "assigned")}
+
+
+def test_java_declarations():
+    found, rest = declared("java", JAVA)
+    assert set(found) == {("class", "com.acme.Auth"), ("method", "com.acme.Auth.Auth"), ("method", "com.acme.Auth.login"), ("interface", "com.acme.Inner"), ("method", "com.acme.Inner.x")}
+    login = found["method", "com.acme.Auth.login"]
+    assert (login["start_line"], login["end_line"], login["return_type"], login["visibility"], login["is_static"]) == (10, 10, "Map<String, T>", "public", True)
+    assert [(p["name"], p["type"]) for p in login["parameters"]] == [("user", "String"), ("n", "int")]
+    assert found["class", "com.acme.Auth"]["end_line"] == 19 and found["interface", "com.acme.Inner"]["visibility"] == "package"
+    assert {(2, "import static java.util.List.*;", "java.util.List.*"), (6, "names", "List"), (6, "names", "ArrayList"), (13, "f", "Foo")} == rest
+
+
+def test_typescript_declarations():
+    found, rest = declared("typescript", TYPESCRIPT)
+    kinds = {"interface": ["AuthPort", "Alias"], "class": ["Auth"], "method": ["Auth.login", "Auth._s"], "function": ["makeToken", "_logout"], "constant": ["API_URL"]}
+    assert set(found) == {(k, f"web.auth.{n}") for k, names in kinds.items() for n in names}
+    login = found["method", "web.auth.Auth.login"]
+    assert login["is_async"] and login["return_type"] == "Promise<Map<string, number>>" and login["visibility"] == "public"
+    assert [(p["name"], p["type"], p["default_value"]) for p in login["parameters"]] == [("user", "string", None), ("opts", "{ a: number }", "{a: 1}"), ("rest", "any[]", None)]
+    assert found["function", "web.auth._logout"]["visibility"] == "public" and found["method", "web.auth.Auth._s"]["visibility"] == "private"
+    assert {(1, "t", "token"), (1, "Other", "Other"), (2, "Def", "Def"), (9, "c", "Store"), (18, "v", "Foo.Bar")} <= rest
+
+
+def test_go_declarations():
+    found, rest = declared("go", GO)
+    assert set(found) == {("constant", "main.MaxRetries"), ("class", "main.Service"), ("function", "main.Login"), ("method", "main.Service.Verify"), ("method", "main.Receiver.odd")}
+    assert [(p["name"], p["type"], p["position"]) for p in found["function", "main.Login"]["parameters"]] == [("user", "string", 0), ("a", None, 1), ("b", "int", 2), ("rest", "string", 3)]
+    assert found["method", "main.Service.Verify"]["return_type"] == "(bool, error)" and found["method", "main.Receiver.odd"]["visibility"] == "private"
+    assert {(3, '"fmt"', "fmt"), (4, 'm "math"', "math"), (10, "s", "Service")} == rest
