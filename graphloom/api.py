@@ -79,6 +79,15 @@ def artifact_checksum(payload: dict) -> str:
     return hashlib.sha256(json.dumps(own, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
 
 
+def payload_size(payload: dict) -> int:
+    """Bytes of an answer as JSON."""
+    return len(json.dumps(payload, default=str, separators=(",", ":")).encode())
+
+
+#: The relationship that a reference is reported for (fixed values).
+REASONS = {"callers": "CALLS", "callees": "CALLS", "implementors": "IMPLEMENTS", "supers": "EXTENDS"}
+
+
 @dataclass
 class Engine:
     """The tables of a snapshot and the tools over them. Plugins may have ``before_query`` and ``after_query``."""
@@ -112,7 +121,7 @@ class Engine:
             failed = str(e)
             raise
         finally:
-            self.metrics.append({"tool_name": tool, "latency_ms": 1000 * (time.monotonic() - start), "success": failed is None, "mode": mode, "error_message": failed})
+            self.metrics.append({"tool_name": tool, "latency_ms": 1000 * (time.monotonic() - start), "success": failed is None, "mode": mode, "result_size": payload_size(out) if out is not None else 0, "error_message": failed})
         return self._plug("after_query", tool, out)
 
     def _plug(self, hook: str, tool: str, value: dict) -> dict:
@@ -150,9 +159,13 @@ class Engine:
             rows = walk.hydrate_source(rows, self.files)
         out: dict[str, list] = {n: [] for n in ("callers", "callees", "implementors", "supers")}
         for r in self._dicts(rows.orderBy("direction", "depth", "line", "id"), schema.edge_cap(cap)):
-            out[r["direction"]].append(r)
+            out[r["direction"]].append({**r, "reference_reason": REASONS[r["direction"]]})
         return out
 
+    def sql(self, text: str, args: dict | list | None = None) -> DataFrame:
+        """Any SQL over the tables ``{symbols}`` and ``{edges}``, with bound arguments."""
+        return self.spark.sql(text, args=args, symbols=self.symbols, edges=self.edges)
+
     def tool_get_blast_radius(self, p: dict) -> dict:
         schema.one_of(p.get("change_type", "behavior"), schema.CHANGE_TYPES, "change_type")
         seeds = self._seeds([p["symbol_name"]])
@@ -178,7 +191,7 @@ class Engine:
             return {"summary": "No relevant symbols found.", "symbols": [], "tokens_used": 0, "token_budget": budget}
         rows = context.get_context(self.spark, self.symbols, self.edges, seeds, p["query"], self.files, budget, bool(p.get("include_signatures_only", False)), int(p.get("expansion_depth", 2)))
         own = self._dicts(rows.orderBy("position"), schema.MAX_VISITED)
-        quality = self._dicts(context.quality(rows, seeds, self.edges, budget))
+        quality = self._dicts(context.quality(rows, seeds, budget))
         return {"summary": f"Selected {len(own)} symbols from {len({r['file_path'] for r in own})} files.", "relationship_map": " -> ".join(r["name"] for r in own[:8]), "symbols": own, "tokens_used": sum(r["tokens"] for r in own), "token_budget": budget, "quality_metrics": quality[0] if quality else {}}
 
     def tool_estimate_context_size(self, p: dict) -> dict:
@@ -246,7 +259,11 @@ class Federation:
 
     def routes(self, name: str, source: str | None = None) -> list[str]:
         exported = federated.exported_symbols(self.symbols)
-        return [r["repo_id"] for r in federated.route(exported, self.cross, name, source).collect()]
+        return [r["repo_id"] for r in federated.route(exported, self.cross, self.shards, name, source).collect()]
+
+    def symbol_routes(self, name: str) -> list[str]:
+        exported = federated.exported_symbols(self.symbols)
+        return [r["repo_id"] for r in federated.route_symbol(exported, self.shards, name).orderBy("place").collect()]
 
     def _one(self, repo: str) -> Engine:
         own = F.col("repo_id") == repo
@@ -277,12 +294,19 @@ class Federation:
         return Engine._dicts(federated.shard_report(self.symbols, self.edges).orderBy("repo_id"))
 
     def get_context(self, query: str, entry_points: list[str] | None = None, token_budget: int = 8_000) -> dict:
-        """The bundle of each repository that holds an entry point, in the order of the points; of all without any."""
-        routed = list(dict.fromkeys(r for e in entry_points or [] for r in self.routes(e)))
+        """The bundle of each repository that exports an entry point, in the order of the points; of all without any."""
+        routed = list(dict.fromkeys(r for e in entry_points or [] for r in self.symbol_routes(e)))
         repos = routed or [r["repo_id"] for r in federated.enabled(self.shards).collect()]
         payload = {"query": query, "entry_points": entry_points or [], "token_budget": token_budget}
         return {r: self._one(r).call("get_context", payload) for r in repos[: schema.MAX_SHARDS]}
 
+    def search_workspace_symbols(self, query: str, kind: str = "any", limit: int = 20, offset: int = 0) -> dict:
+        """A page over all enabled roots."""
+        roots = self.shards.withColumnRenamed("repo_id", "root")
+        rows = Engine._dicts(federated.workspace_search(self.symbols.withColumnRenamed("repo_id", "root"), roots, query, kind, limit, offset))
+        limit, offset = schema.clamp(limit, schema.MAX_SEARCH_LIMIT), max(0, offset)
+        return {"symbols": rows, "pagination": {"offset": offset, "limit": limit, "returned": len(rows), "next_offset": offset + limit if len(rows) == limit else None}}
+
     def workspace_status(self) -> list[dict]:
         """Counts by repository, and over all under no name."""
         report = federated.shard_report(self.symbols, self.edges)
@@ -296,6 +320,6 @@ class Federation:
             "federated_get_context": self.get_context,
             "get_cross_repo_edges": self.cross_repo_edges,
             "get_shard_status": self.shard_status,
-            "search_workspace_symbols": self.search_symbols,
+            "search_workspace_symbols": self.search_workspace_symbols,
             "get_workspace_status": self.workspace_status,
         }

@@ -10,38 +10,64 @@ from __future__ import annotations
 import heapq
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom import schema
 from graphloom.functions import scalar
 from graphloom.operators.rank import personalized_pagerank
-from graphloom.operators.walk import both_ways, expand, hydrate_source, levels
-from graphloom.tables import materialize
+from graphloom.operators.walk import both_ways, between, expand, hydrate_source
+from graphloom.tables import materialize, running_sum
 
 
-def structure_lines(symbols: DataFrame, path: str = ".", signatures: bool = True, ranked: bool = False) -> DataFrame:
-    """The map's lines in order: (position, line, tokens). With ``ranked``, TOP marks the best ten symbols."""
+BY_FILE = ["file_path", "-pagerank_score", "start_line", "id"]
+
+
+def _by_file() -> list[Column]:
+    return [F.desc(c[1:]) if c.startswith("-") else F.asc(c) for c in BY_FILE]
+
+
+def _below(symbols: DataFrame, path: str) -> DataFrame:
     if path in ("", "."):
-        own = symbols
+        return symbols
+    pattern = path if path.endswith("%") else path.rstrip("/") + "/%"
+    return symbols.where(F.col("file_path").ilike(pattern.replace("\\", "\\\\")))
+
+
+def _lines(own: DataFrame, best: DataFrame | None, signatures: bool) -> DataFrame:
+    """Lines of ``own`` in order; TOP marks those in ``best`` (id), or the first ten."""
+    rows = running_sum(own.withColumn("_one", F.lit(1)), [], _by_file(), "_one", "rank").drop("_one", "rank_all")
+    if best is None:
+        rows = rows.withColumn("top", F.col("rank") <= 10)
     else:
-        pattern = path if path.endswith("%") else path.rstrip("/") + "/%"
-        own = symbols.where(F.col("file_path").ilike(pattern.replace("\\", "\\\\")))
-    by_file = [F.col("file_path"), F.desc("pagerank_score"), F.col("start_line"), F.col("id")]
-    rows = own.withColumn("rank", F.row_number().over(W.orderBy(*by_file)))
-    rows = rows.withColumn("top", F.row_number().over(W.orderBy(F.desc("pagerank_score"), *by_file)) if ranked else F.col("rank"))
-    detail = F.coalesce(F.nullif(F.col("signature"), F.lit("")), F.concat_ws(" ", "kind", "name")) if signatures else F.concat_ws(" ", "kind", "name")
-    line = F.concat(F.lit("  "), F.when(F.col("top") <= 10, "[TOP] ").otherwise(""), detail, F.lit("  [rank:"), F.col("rank").cast("string"), F.lit("]"))
+        rows = rows.join(best.select("id", F.lit(True).alias("top")), "id", "left").withColumn("top", F.coalesce("top", F.lit(False)))
+    named = F.concat_ws(" ", "kind", "name")
+    detail = F.coalesce(F.nullif(F.col("signature"), F.lit("")), named) if signatures else named
+    line = F.concat(F.lit("  "), F.when(F.col("top"), "[TOP] ").otherwise(""), detail, F.lit("  [rank:"), F.col("rank").cast("string"), F.lit("]"))
     heads = rows.groupBy("file_path").agg(F.min("rank").alias("rank")).select((2 * F.col("rank") - 1).alias("position"), F.col("file_path").alias("line"))
     lines = heads.unionByName(rows.select((2 * F.col("rank")).alias("position"), line.alias("line")))
     return lines.withColumn("tokens", scalar.estimate_tokens(F.col("line")))
 
 
+def _best(own: DataFrame) -> DataFrame:
+    return own.orderBy(F.desc("pagerank_score"), *_by_file()).limit(10).select("id")
+
+
+def structure_lines(symbols: DataFrame, path: str = ".", signatures: bool = True, ranked: bool = False) -> DataFrame:
+    """The map's lines in order: (position, line, tokens). With ``ranked``, TOP marks the best ten symbols."""
+    own = _below(symbols, path)
+    return _lines(own, _best(own) if ranked else None, signatures)
+
+
 def structure(symbols: DataFrame, path: str = ".", budget: int = 4_000, signatures: bool = True, ranked: bool = False) -> DataFrame:
-    """The longest prefix of lines within the budget."""
-    used = F.sum("tokens").over(W.orderBy("position").rowsBetween(W.unboundedPreceding, 0))
-    return structure_lines(symbols, path, signatures, ranked).withColumn("used", used).where(F.col("used") <= schema.clamp(budget, schema.MAX_BUDGET))
+    """The longest prefix of lines within the budget.
+
+    A line costs a token at least, so the first ``budget`` symbols have all lines that can fit, and the rest is not read on.
+    """
+    budget = schema.clamp(budget, schema.MAX_BUDGET)
+    own = _below(symbols, path)
+    lines = _lines(own.orderBy(*_by_file()).limit(budget), _best(own) if ranked else None, signatures)
+    return running_sum(lines, [], [F.col("position")], "tokens", "used").drop("used_all").where(F.col("used") <= budget)
 
 
 def structure_text(lines: DataFrame) -> str:
@@ -77,14 +103,25 @@ def topology_order(scores: dict[int, float], seeds: set[int], neighbours: dict[i
     return out + [(i, "rank_fallback") for i in best(set(scores) - seen)]
 
 
-BUNDLE = "seed_id bigint, position int, id bigint, name string, file_path string, qualified_name string, start_line int, end_line int, kind string, depth int, included_as string, source string, tokens bigint, selection_reason string, duplicate_skips int, redaction_hits bigint"
+def reachable(included: set[int], seeds: set[int], neighbours: dict[int, set[int]]) -> int:
+    """How many of the included are reached from included seeds over included ones."""
+    waiting = list(included & seeds)
+    seen = set(waiting)
+    while waiting:
+        fresh = neighbours.get(waiting.pop(), set()) & included - seen
+        seen |= fresh
+        waiting += fresh
+    return len(seen)
+
+
+BUNDLE = "seed_id bigint, position int, id bigint, name string, file_path string, qualified_name string, start_line int, end_line int, kind string, depth int, included_as string, source string, tokens bigint, selection_reason string, duplicate_skips int, redaction_hits bigint, connected int"
 
 
 def bundle(ranked: DataFrame, edges: DataFrame, budget: int = 8_000, signatures_only: bool = False, cap: int = schema.MAX_VISITED) -> DataFrame:
     """What of ``ranked`` (with ``source``) fits, in topological order. Sources and signatures are both redacted."""
     budget = schema.clamp(budget, schema.MAX_BUDGET)
     inside = ranked.select("seed_id", "id")
-    steps = both_ways(edges).distinct()
+    steps = both_ways(between(edges, inside)).distinct()
     near = inside.withColumnRenamed("id", "at").join(steps, "at").join(inside.withColumnRenamed("id", "next"), ["seed_id", "next"], "left_semi").groupBy("seed_id", F.col("at").alias("id")).agg(F.collect_set("next").alias("near"))
     full, full_hits = scalar.redact(F.col("source"))
     short, short_hits = scalar.redact(F.coalesce("signature", F.lit("")))
@@ -93,7 +130,9 @@ def bundle(ranked: DataFrame, edges: DataFrame, budget: int = 8_000, signatures_
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         at = {int(r.id): r for r in pdf.itertuples()}
-        order = topology_order({i: float(r.score) for i, r in at.items()}, {i for i, r in at.items() if r.is_seed}, {i: set() if r.near is None else {int(x) for x in r.near} for i, r in at.items()})
+        seeds = {i for i, r in at.items() if r.is_seed}
+        neighbours = {i: set() if r.near is None else {int(x) for x in r.near} for i, r in at.items()}
+        order = topology_order({i: float(r.score) for i, r in at.items()}, seeds, neighbours)
         out, seen, used, skipped, hits = [], set(), 0, 0, 0
         for i, reason in order:
             if len(out) >= cap:
@@ -114,25 +153,19 @@ def bundle(ranked: DataFrame, edges: DataFrame, budget: int = 8_000, signatures_
                     out.append((r.seed_id, len(out), i, r.name, r.file_path, r.qualified_name, r.start_line, r.end_line, r.kind, r.depth, mode, text, cost, why))
                     break
         names = [c.split()[0] for c in BUNDLE.split(", ")]
-        return pd.DataFrame([(*o, skipped, hits) for o in out], columns=names)
+        connected = reachable({o[2] for o in out}, seeds, neighbours)
+        return pd.DataFrame([(*o, skipped, hits, connected) for o in out], columns=names)
 
     return rows.groupBy("seed_id").applyInPandas(fold, BUNDLE)
 
 
-def quality(included: DataFrame, seeds: DataFrame, edges: DataFrame, budget: int) -> DataFrame:
+def quality(included: DataFrame, seeds: DataFrame, budget: int) -> DataFrame:
     """Seed hits, connectedness within the bundle, depth, use of the budget and duplicates, for each seed_id."""
-    spark = included.sparkSession
-    inside = included.select("seed_id", "id")
-    steps = both_ways(edges).distinct()
-    start = seeds.join(inside, ["seed_id", "id"], "left_semi")
-    # paths stay inside a bundle, so the node of a step carries its bundle
-    own = inside.withColumnRenamed("id", "at").join(steps, "at").join(inside.withColumnRenamed("id", "next"), ["seed_id", "next"], "left_semi")
-    keyed = own.select(F.struct("seed_id", F.col("at").alias("id")).alias("at"), F.struct("seed_id", F.col("next").alias("id")).alias("next"))
-    reach = levels(spark, keyed, start.select("seed_id", F.struct("seed_id", "id").alias("id")), schema.MAX_VISITED, with_seeds=True).groupBy("seed_id").agg(F.count("*").alias("connected"))
+    start = seeds.join(included.select("seed_id", "id"), ["seed_id", "id"], "left_semi")
     hit = start.distinct().groupBy("seed_id").agg(F.count("*").alias("hit"))
     total = seeds.distinct().groupBy("seed_id").agg(F.count("*").alias("total"))
-    base = included.groupBy("seed_id").agg(F.count("*").alias("n"), F.avg("depth").alias("avg_depth"), F.sum("tokens").alias("tokens"), F.max("duplicate_skips").alias("skips"), F.max("redaction_hits").alias("redaction_hits"))
-    joined = total.join(base, "seed_id", "left").join(hit, "seed_id", "left").join(reach, "seed_id", "left").fillna(0)
+    base = included.groupBy("seed_id").agg(F.count("*").alias("n"), F.avg("depth").alias("avg_depth"), F.sum("tokens").alias("tokens"), F.max("duplicate_skips").alias("skips"), F.max("redaction_hits").alias("redaction_hits"), F.max("connected").alias("connected"))
+    joined = total.join(base, "seed_id", "left").join(hit, "seed_id", "left").fillna(0)
     some = F.col("n") > 0
     part = lambda c: F.round(F.when(some, c).otherwise(F.lit(0.0)), 4)
     return joined.select(

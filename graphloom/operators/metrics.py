@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from graphloom.tables import running_sum
+
 
 def diagnostics_summary(rows: DataFrame) -> DataFrame:
     """A4: (dimension, value, n) for all rows and by stage, category and severity, in one pass."""
@@ -32,12 +34,11 @@ def recent(rows: DataFrame, limit: int, offset: int = 0, **equal: str | None) ->
 def index_percentiles(rows: DataFrame, keys: list[str], value: str, percents: dict[str, float]) -> DataFrame:
     """The value at place round_half_even((n - 1) * p) of each group's sorted values.
 
-    Equal values are counted first; running counts then find the place without collecting a group.
+    Equal values are counted first; running counts over ranges of values then find the place, so no group is one task's.
     """
     counted = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    group = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-    placed = counted.withColumn("_to", F.sum("_n").over(group.orderBy(value).rowsBetween(W.unboundedPreceding, 0))).withColumn("_all", F.sum("_n").over(group))
-    at = lambda p: F.bround((F.col("_all") - 1) * p).cast("bigint")
+    placed = running_sum(counted, keys, [F.col(value)], "_n", "_to")
+    at = lambda p: F.bround((F.col("_to_all") - 1) * p).cast("bigint")
     picks = [F.max(F.when((F.col("_to") > at(p)) & (F.col("_to") - F.col("_n") <= at(p)), F.col(value))).alias(name) for name, p in percents.items()]
     return placed.groupBy(*keys).agg(*picks)
 
@@ -105,3 +106,14 @@ def inspector(symbols: DataFrame, edges: DataFrame, nodes: int = 300, links: int
     own = symbols.orderBy(F.desc("pagerank_score"), "id").limit(nodes)
     between = induced(edges.where("source_type = 'symbol' AND target_type = 'symbol'"), own)
     return own, between.orderBy("source_id", "target_id", "relationship").limit(links)
+
+
+def inspector_bundle(nodes: DataFrame, links: DataFrame) -> dict:
+    """The inspector's nodes and edges as one JSON-ready object; both are bounded."""
+    shown = nodes.select("id", "name", "qualified_name", "kind", "file_path", "pagerank_score").orderBy(F.desc("pagerank_score"), "id")
+    return {"nodes": [r.asDict() for r in shown.collect()], "edges": [r.asDict() for r in links.select("source_id", "target_id", "relationship").collect()]}
+
+
+def append_metrics(rows: DataFrame, path: str) -> None:
+    """Performance rows are appended as JSON lines."""
+    rows.write.mode("append").json(path)

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from graphloom.operators.walk import both_ways
-from graphloom.tables import materialize
+from graphloom.operators.walk import between, both_ways
+from graphloom.tables import discard, materialize
 
 #: Rounds between two written tables.
 EVERY = 4
@@ -44,8 +44,11 @@ def pagerank(spark: SparkSession, symbols: DataFrame, edges: DataFrame, rounds:
         given = scores.join(links, "id").groupBy(F.col("to").alias("id")).agg(F.sum(F.col("score") * F.col("w") / F.col("out")).alias("got"))
         fresh = nodes.join(given, "id", "left").select("id", (F.lit((1 - damping) / n + damping * lost_mass / n) + damping * F.coalesce("got", F.lit(0.0))).alias("score"))
         fresh = materialize(spark, fresh, "scores")
+        old = scores
         moved = fresh.join(scores.withColumnRenamed("score", "old"), "id").agg(F.sum(F.abs(F.col("score") - F.col("old")))).first()[0] if rounds is None else None
         scores = fresh
+        if k > 1:
+            discard(spark, old)
         if moved is not None and moved <= epsilon:
             break
     return scores
@@ -57,7 +60,7 @@ def personalized_pagerank(spark: SparkSession, edges: DataFrame, reached: DataFr
     Nodes without neighbours keep only their restart; their mass isn't passed on.
     """
     inside = reached.select("seed_id", "id").distinct()
-    steps = both_ways(edges).groupBy("at", "next").agg(F.count("*").alias("w"))
+    steps = both_ways(between(edges, inside)).groupBy("at", "next").agg(F.count("*").alias("w"))
     links = inside.withColumnRenamed("id", "at").join(steps, "at").join(inside.withColumnRenamed("id", "next"), ["seed_id", "next"], "left_semi")
     links = materialize(spark, links.select("seed_id", "at", "next", "w", F.sum("w").over(W.partitionBy("seed_id", "at")).alias("out")), "links")
     seeds = seeds.select("seed_id", "id").distinct()

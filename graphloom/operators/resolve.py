@@ -18,13 +18,16 @@ SELF = ("", "self", "cls", "this")
 def enclosing(calls: DataFrame, symbols: DataFrame, keys: list[str]) -> DataFrame:
     """For each call (file_path, line) the smallest symbol around its line, by span, then start and id.
 
-    The file is the equi key; the lines are a range condition on it.
+    Each line with a call is looked up once, however many calls it has. The file is the equi key; the lines are a range
+    condition on it.
     """
+    places = calls.select("file_path", "line").distinct()
     around = symbols.select(F.col("file_path").alias("_f"), F.col("id").alias("caller_id"), "start_line", "end_line")
-    joined = calls.join(around, (F.col("file_path") == F.col("_f")) & (F.col("line") >= F.col("start_line")) & (F.col("line") <= F.col("end_line")))
+    inside = (F.col("file_path") == F.col("_f")) & (F.col("line") >= F.col("start_line")) & (F.col("line") <= F.col("end_line"))
+    size = F.struct((F.col("end_line") - F.col("start_line")).alias("span"), F.col("start_line"), F.col("caller_id"))
     # an aggregate with partial results instead of a window over every candidate
-    best = joined.groupBy(*keys, "file_path", "line").agg(F.min(F.struct((F.col("end_line") - F.col("start_line")).alias("span"), F.col("start_line"), F.col("caller_id"))).alias("b"))
-    return best.select(*keys, "file_path", "line", F.col("b.caller_id").alias("caller_id"))
+    best = places.join(around, inside).groupBy("file_path", "line").agg(F.min(size)["caller_id"].alias("caller_id"))
+    return calls.select(*keys, "file_path", "line").distinct().join(best, ["file_path", "line"]).select(*keys, "file_path", "line", "caller_id")
 
 
 def look_back(calls: DataFrame, assignments: DataFrame, window: int = LOOK_BACK) -> DataFrame:

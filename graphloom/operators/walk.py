@@ -41,6 +41,14 @@ def directed(edges: DataFrame, direction: str) -> DataFrame:
     return edges.where(F.col("relationship").isin(relationships) & (F.col(f"{near}_type") == "symbol")).select(F.col(f"{near}_id").alias("at"), F.col(f"{far}_id").alias("next"), F.col("line_number").alias("line"))
 
 
+def between(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The edges with both ends among ``nodes`` (id), so that what follows works on those alone."""
+    ids = nodes.select("id").distinct()
+    for end in ("source_id", "target_id"):
+        edges = edges.join(ids.withColumnRenamed("id", end), end, "left_semi")
+    return edges
+
+
 def both_ways(edges: DataFrame, relationships: tuple[str, ...] = schema.RELATIONSHIPS) -> DataFrame:
     """(at, next) of undirected steps between symbols; parallel edges stay."""
     own = edges.where(F.col("relationship").isin(list(relationships)) & (F.col("source_type") == "symbol") & (F.col("target_type") == "symbol"))

@@ -63,7 +63,8 @@ def incremental_index(spark: SparkSession, old: Index, root: str, changes: DataF
     gone = changes.where("status IN ('D', 'R')").select(F.when(F.col("status") == "R", F.col("old_path")).otherwise(F.col("path")).alias("path"))
     fresh = changes.where("status IN ('A', 'M', 'R')").select("path").distinct()
     listing, _, _ = delete_files(old.files, old.symbols, old.edges.where("file_path IS NOT NULL"), gone.unionByName(fresh))
-    read = materialize(spark, files.scan(spark, root).join(fresh, "path", "left_semi"), "files")
+    paths = [r["path"] for r in fresh.toLocalIterator()]  # the driver lists what it opens: one path for each changed file
+    read = materialize(spark, files.scan_paths(spark, root, paths), "files")
     facts = materialize(spark, replace_files(old.facts, extract.extract(read), gone.unionByName(fresh)), "facts")
     return build(spark, materialize(spark, listing.unionByName(read.drop("text")), "files"), facts, go_module)
 

@@ -52,16 +52,36 @@ def wanted(path: Column, include: list[str] | None = None, exclude: list[str] |
     return condition & ~_any(out)
 
 
+def _escaped(path: str) -> str:
+    """A path in which no character is a pattern."""
+    return "".join("\\" + c if c in "{}[]*?\\" else c for c in path)
+
+
+def _rows(raw: DataFrame, root: str, include: list[str] | None, exclude: list[str] | None, sensitive: bool) -> DataFrame:
+    base = root.rstrip("/").removeprefix("file://").removeprefix("file:")
+    quoted = "".join("\\" + c if not c.isalnum() else c for c in base)
+    relative = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:(//[^/]*)?", ""), f"^{quoted}/", "")
+    rows = raw.select(relative.alias("path"), "content", "length").where(wanted(F.col("path"), include, exclude, sensitive))
+    text = F.make_valid_utf8(F.col("content").cast("string")).alias("text")
+    return rows.select("path", scalar.language_of(F.col("path")).alias("language"), F.sha2("content", 256).alias("content_hash"), F.col("length").alias("size_bytes"), text)
+
+
 def scan(spark: SparkSession, root: str, include: list[str] | None = None, exclude: list[str] | None = None, sensitive: bool = False) -> DataFrame:
     """(path, language, content_hash, size_bytes, text) of a tree; paths are relative to ``root``.
 
     Invalid UTF-8 becomes replacement characters. Listing and reading are Spark's, so any of its file systems do.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = root.rstrip("/").removeprefix("file://").removeprefix("file:")
-    relative = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:(//[^/]*)?", ""), "^" + "".join("\\" + c if not c.isalnum() else c for c in base) + "/", "")
-    rows = raw.select(relative.alias("path"), "content", "length").where(wanted(F.col("path"), include, exclude, sensitive))
-    return rows.select("path", scalar.language_of(F.col("path")).alias("language"), F.sha2("content", 256).alias("content_hash"), F.col("length").alias("size_bytes"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
+    return _rows(raw, root, include, exclude, sensitive)
+
+
+def scan_paths(spark: SparkSession, root: str, paths: list[str], include: list[str] | None = None, exclude: list[str] | None = None, sensitive: bool = False) -> DataFrame:
+    """``scan`` of the named files only: no other file is listed or opened."""
+    base = root.rstrip("/")
+    if not paths:
+        return _rows(spark.createDataFrame([], "path string, content binary, length bigint"), root, include, exclude, sensitive)
+    raw = spark.read.format("binaryFile").load([_escaped(f"{base}/{p}") for p in sorted(set(paths))])
+    return _rows(raw, root, include, exclude, sensitive)
 
 
 def scan_counts(files: DataFrame) -> DataFrame:

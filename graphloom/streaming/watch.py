@@ -31,24 +31,24 @@ def watch(spark: SparkSession, folder: str, schema: str, step: Callable[[DataFra
 def stateful_diff(listing: DataFrame) -> DataFrame:
     """T4: (path, status) A, M or D of a stream of (path, hash); a null hash says that the file is gone.
 
-    The last hash of every path is state, keyed by path.
+    Of every path the hash with the greatest ``seq`` seen so far is state, so rows that come late or in another order
+    change nothing; a file that is gone keeps its ``seq``.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        old = state.get[0] if state.exists else None
-        new = old
+        old, known = state.get if state.exists else (None, None)
+        new, latest = old, known
         for pdf in frames:
-            new = pdf.sort_values("seq")["hash"].iloc[-1]
+            row = pdf.loc[pdf["seq"].idxmax()]
+            if latest is None or row["seq"] > latest:
+                new, latest = row["hash"], int(row["seq"])
         new = None if new is None or new != new else new
-        if new is None:
-            if state.exists:
-                state.remove()
-        else:
-            state.update((new,))
+        if latest != known:
+            state.update((new, latest))
         status = None if old == new else "A" if old is None else "D" if new is None else "M"
         yield pd.DataFrame({"path": [key[0]] if status else [], "status": [status] if status else []})
 
-    return listing.groupBy("path").applyInPandasWithState(step, "path string, status string", "hash string", "update", "NoTimeout")
+    return listing.groupBy("path").applyInPandasWithState(step, "path string, status string", "hash string, seq bigint", "update", "NoTimeout")
 
 
 def windowed_counts(spark: SparkSession, path: str, window: str = "1 hour", late: str = "1 day") -> DataFrame:

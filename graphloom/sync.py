@@ -12,6 +12,9 @@ from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from concurrent.futures import TimeoutError as FutureTimeout
 from dataclasses import dataclass, field
+from urllib.error import HTTPError
+from urllib.parse import quote
+from urllib.request import Request, urlopen
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +23,24 @@ from graphloom.api import CircuitBreaker, artifact_checksum
 from graphloom.tables import upsert
 
 SCHEMA_VERSION = 1
+#: What an artifact's JSON holds.
+ENDS = "struct<qualified_name:string,file_path:string>"
+ARTIFACT = (
+    "artifact_id string, repo_id string, snapshot_id string, parent_snapshot string, tool_version string, schema_version int, created_at string, "
+    "symbols array<struct<qualified_name:string,name:string,kind:string,file_path:string,start_line:int,end_line:int,signature:string>>, "
+    f"edges array<struct<source:{ENDS},target:{ENDS},relationship:string,line_number:int,confidence:double>>, checksum string, signature string"
+)
+
+
+def read_artifacts(payloads: DataFrame) -> DataFrame:
+    """Artifacts of JSON texts (column payload), with their declared types; a malformed text is left out."""
+    parsed = payloads.select(F.from_json("payload", ARTIFACT, {"mode": "PERMISSIVE"}).alias("a")).select("a.*")
+    return parsed.where("artifact_id IS NOT NULL")
+
+
+def artifact_tables(artifacts: DataFrame) -> dict[str, DataFrame]:
+    """The symbols and edges of artifacts as rows."""
+    return {n: artifacts.select("artifact_id", F.explode(n).alias("r")).select("artifact_id", "r.*") for n in ("symbols", "edges")}
 
 
 def canonical(payload: dict, *without: str) -> str:
@@ -85,11 +106,37 @@ class FileTransport:
         return json.loads(found) if found else None
 
 
+@dataclass
+class HttpTransport:
+    """JSON payloads to and from a control plane: POST to push, GET of the latest one."""
+
+    url: str
+    seconds: float = 10.0
+
+    def _place(self, repo: str, kind: str, *more: str) -> str:
+        return "/".join([self.url.rstrip("/"), quote(repo, safe=""), kind, *more])
+
+    def push(self, repo: str, kind: str, payload: dict) -> None:
+        data = json.dumps(payload, sort_keys=True).encode()
+        asked = Request(self._place(repo, kind), data=data, headers={"Content-Type": "application/json"}, method="POST")
+        with urlopen(asked, timeout=self.seconds):
+            pass
+
+    def latest(self, repo: str, kind: str) -> dict | None:
+        try:
+            with urlopen(self._place(repo, kind, "latest"), timeout=self.seconds) as found:
+                return json.loads(found.read())
+        except HTTPError as e:
+            if e.code == 404:
+                return None
+            raise
+
+
 @dataclass
 class SyncClient:
     """Push and pull with a time limit, a circuit breaker, a quarantine and pins."""
 
-    transport: FileTransport
+    transport: FileTransport | HttpTransport
     repo: str
     tool_version: str = "1.0"
     key: str | None = None
@@ -149,6 +196,11 @@ def record(table: DataFrame, rows: DataFrame, keys: list[str] | None = None) ->
     return table.unionByName(rows) if keys is None else upsert(table, rows, keys)
 
 
+def breaker_of(table: DataFrame, repo: str) -> DataFrame:
+    """The state of a repository's breaker; ``record(table, rows, ["repo_id"])`` sets it."""
+    return table.where(F.col("repo_id") == repo)
+
+
 def clear_run(diagnostics: DataFrame, run: str) -> DataFrame:
     """All but one run's rows."""
     return diagnostics.where(~F.col("run_id").eqNullSafe(F.lit(run)))
