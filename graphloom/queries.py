@@ -83,10 +83,10 @@ def walk_callees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return walk.references(spark, gr.edges, gr.symbols, seeds_of(spark, *(g.PART + i for i in (1, 2, 3))), "callees", 2).select(REFERENCES)
 
 
-@query(graph_sql(REFERENCES_SQL, walk_sql("source", "target", "'EXTENDS', 'IMPLEMENTS'", "kind = 'method' AND id < 3000000050", 2)))
+@query(graph_sql(REFERENCES_SQL, walk_sql("source", "target", "'EXTENDS', 'IMPLEMENTS'", "kind = 'method'", 2)))
 def walk_supers(spark: SparkSession, sf_dir: str) -> DataFrame:
     gr = stored(spark, sf_dir, ("EXTENDS", "IMPLEMENTS"))
-    seeds = gr.symbols.where("kind = 'method' AND id < 3000000050").select(F.col("id").alias("seed_id"), "id")
+    seeds = gr.symbols.where("kind = 'method'").select(F.col("id").alias("seed_id"), "id")
     return walk.references(spark, gr.edges, gr.symbols, seeds, "supers", 2).select(REFERENCES)
 
 
@@ -451,11 +451,13 @@ def explain_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.explain_symbol(gr.symbols, gr.edges, 3).select("id", "way", "other", "name", "place")
 
 
-@query(graph_sql("""SELECT e.source_id, e.target_id, e.relationship FROM g_edges e WHERE e.source_id IN (SELECT id FROM n) AND e.target_id IN (SELECT id FROM n) ORDER BY 1, 2, 3 LIMIT 500""", "n AS (SELECT id FROM g_symbols ORDER BY pagerank_score DESC, id LIMIT 300)"))
+@query(graph_sql("""SELECT e.source_id, e.target_id, e.relationship FROM g_edges e WHERE e.source_id IN (SELECT id FROM n) AND e.target_id IN (SELECT id FROM n)
+ORDER BY 1, 2, 3 LIMIT 500""", "n AS (SELECT id FROM g_symbols WHERE kind IN ('class', 'interface', 'constant') ORDER BY pagerank_score DESC, id LIMIT 300)"))
 def inspector_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O8, K21."""
+    """Of the types' part of the graph, whose best nodes have edges among them."""
     gr = g.graph(spark, sf_dir)
-    return metrics.inspector(gr.symbols, gr.edges)[1].select("source_id", "target_id", "relationship")
+    types = gr.symbols.where("kind IN ('class', 'interface', 'constant')")
+    return metrics.inspector(types, gr.edges)[1].select("source_id", "target_id", "relationship")
 
 
 def _snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -525,28 +527,58 @@ def look_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.look_back(rows, rows, 10)
 
 
-@query(graph_sql("""SELECT call_id, target_id, strategy, CASE WHEN n = 1 THEN 1.0 ELSE confidence END AS confidence FROM (
-  SELECT *, min(rnk) OVER (PARTITION BY call_id) AS m, count(*) OVER (PARTITION BY call_id, rnk) AS n FROM (
-    SELECT c.p_partkey AS call_id, t.id AS target_id, CASE WHEN t.file_path = s.file_path THEN 'same_file' WHEN contains(t.qualified_name, 'red') THEN 'import_scoped' ELSE 'any' END AS strategy,
-      CASE WHEN t.file_path = s.file_path THEN 5 WHEN contains(t.qualified_name, 'red') THEN 6 ELSE 7 END AS rnk, CASE WHEN t.file_path = s.file_path THEN 0.8 WHEN contains(t.qualified_name, 'red') THEN 0.7 ELSE 0.5 END AS confidence
-    FROM part c JOIN g_symbols s ON s.id = 1000000000 + c.p_partkey JOIN part d ON d.p_partkey = (c.p_partkey * 7 + 1) % (SELECT count(*) FROM part) JOIN g_symbols t ON t.name = d.p_name WHERE c.p_partkey < 300) u) v WHERE rnk = m"""))
+#: Methods and functions of customers, and a call for each order, so that all eight strategies occur.
+CALLS = """s AS (SELECT c_custkey AS id, 'm' || (c_custkey % 500) AS name, 'pkg.n' || c_nationkey || '.c' || (c_custkey % 7) || '.m' || (c_custkey % 500) AS qname, 'c' || (c_custkey % 7) AS owner,
+  CASE WHEN c_custkey % 5 = 0 THEN 'function' ELSE 'method' END AS kind, 'src/n' || c_nationkey || '.py' AS file_path FROM customer)
+, c AS (SELECT o_orderkey AS call_id, o_custkey AS caller_id, 'm' || (o_orderkey % 500) AS callee, 'src/n' || (o_orderkey % 25) || '.py' AS file_path, o_orderkey % 11 = 0 AS typed,
+  CASE o_orderkey % 8 WHEN 1 THEN 'self' WHEN 2 THEN 'c' || (o_orderkey % 7) WHEN 3 THEN 'n' || (o_orderkey % 25) WHEN 4 THEN 'al' WHEN 5 THEN 'zz' WHEN 6 THEN 'this' ELSE '' END AS receiver FROM orders)
+, u AS (SELECT c.call_id, t.id AS target_id, CASE
+    WHEN k.kind = 'method' AND t.kind = 'method' AND starts_with(t.qname, regexp_replace(k.qname, '\\.[^.]*$', '') || '.') AND c.receiver IN ('', 'self', 'this') THEN 0
+    WHEN t.kind = 'method' AND c.typed AND t.owner = 'c2' THEN 1
+    WHEN t.kind = 'method' AND c.receiver = 'al' AND t.owner = 'c5' THEN 2
+    WHEN t.kind = 'method' AND c.receiver NOT IN ('', 'self', 'this') AND t.owner = c.receiver THEN 3
+    WHEN t.kind = 'method' AND c.receiver NOT IN ('', 'self', 'this') AND contains(t.qname, '.' || c.receiver || '.') THEN 4
+    WHEN t.file_path = c.file_path THEN 5
+    WHEN contains(t.qname, 'n7') OR t.file_path LIKE '%/n7.py' THEN 6 ELSE 7 END AS rnk
+  FROM c JOIN s k ON k.id = c.caller_id JOIN s t ON t.name = c.callee)"""
+WAYS = {"class_scoped": 0.78, "typed": 0.84, "alias_typed": 0.83, "owner": 0.79, "receiver_scoped": 0.75, "same_file": 0.80, "import_scoped": 0.70, "any": 0.50}
+
+
+@query(f"""WITH {CALLS} SELECT call_id, target_id, [{', '.join(f"'{w}'" for w in WAYS)}][rnk + 1] AS strategy, CASE WHEN n = 1 THEN 1.0 ELSE [{', '.join(map(str, WAYS.values()))}][rnk + 1] END AS confidence
+FROM (SELECT *, min(rnk) OVER (PARTITION BY call_id) AS m, count(*) OVER (PARTITION BY call_id, rnk) AS n FROM u) v WHERE rnk = m""")
 def call_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Same file, import hints, any."""
-    symbols = g.symbols(spark, sf_dir)
-    part = read(spark, sf_dir, "part").select("p_partkey", "p_name")
-    n = part.count()
-    own = symbols.where("kind = 'function'").select(F.col("id").alias("caller_id"), "file_path")
-    calls = part.where("p_partkey < 300").select(F.col("p_partkey").alias("call_id"), (F.lit(g.PART) + F.col("p_partkey")).alias("caller_id"), ((F.col("p_partkey") * 7 + 1) % n).alias("k")).join(part.select(F.col("p_partkey").alias("k"), F.col("p_name").alias("callee")), "k").join(own, "caller_id").withColumn("receiver", F.lit(None).cast("string"))
-    hints = calls.select("file_path", F.lit("red").alias("hint")).distinct()
-    return resolve.resolve_calls(calls, symbols, import_hints=hints)
-
-
-@query("""SELECT p_partkey AS import_id, CASE WHEN p_partkey % 4 = 0 THEN 'pkg/m' || (p_partkey % 50) || '.py' WHEN p_partkey % 4 = 1 THEN 'pkg/m' || (p_partkey % 50) || '/__init__.py' END AS target_path FROM part WHERE p_partkey % 4 IN (0, 1) AND p_partkey % 50 < 20""")
+    """All strategies, over all calls."""
+    c = F.col
+    text = lambda prefix, value: F.concat(F.lit(prefix), value.cast("string"))
+    customers = read(spark, sf_dir, "customer")
+    name, owner = text("m", c("c_custkey") % 500), text("c", c("c_custkey") % 7)
+    symbols = customers.select(c("c_custkey").alias("id"), name.alias("name"), F.concat_ws(".", F.lit("pkg"), text("n", c("c_nationkey")), owner, name).alias("qualified_name"), F.when(c("c_custkey") % 5 == 0, "function").otherwise("method").alias("kind"), F.concat(text("src/n", c("c_nationkey")), F.lit(".py")).alias("file_path"))
+    key = c("o_orderkey")
+    receiver = F.when(key % 8 == 0, F.lit(None).cast("string"))
+    for i, value in enumerate((F.lit("self"), text("c", key % 7), text("n", key % 25), F.lit("al"), F.lit("zz"), F.lit("This"), F.lit("")), 1):
+        receiver = receiver.when(key % 8 == i, value)
+    calls = read(spark, sf_dir, "orders").select(key.alias("call_id"), c("o_custkey").alias("caller_id"), text("m", key % 500).alias("callee"), receiver.alias("receiver"), F.concat(text("src/n", key % 25), F.lit(".py")).alias("file_path"))
+    places = calls.select("file_path").distinct()
+    aliases = places.select("file_path", F.lit("al").alias("alias"), F.lit("c5").alias("original"))
+    hints = places.select("file_path", F.lit("n7").alias("hint"))
+    return resolve.resolve_calls(calls, symbols, aliases, calls.where("call_id % 11 = 0").select("call_id", F.lit("c2").alias("hint")), hints)
+
+
+@query("""WITH i AS (SELECT p_partkey AS k, p_partkey % 5 AS way, p_partkey % 40 AS m FROM part)
+SELECT k AS import_id, CASE way WHEN 0 THEN 'pkg/m' || m || CASE WHEN m % 2 = 0 THEN '.py' ELSE '/__init__.py' END WHEN 1 THEN 'com/p' || m || '.java' WHEN 2 THEN 'com/p' || m || '/A.java'
+  WHEN 3 THEN 'web/t' || m || CASE WHEN m % 2 = 0 THEN '.ts' ELSE '/index.js' END ELSE 'g' || m || '/a.go' END AS target_path FROM i WHERE m < 20""")
 def import_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Even modules are files, odd ones packages, below 20."""
-    imports = read(spark, sf_dir, "part").where("p_partkey % 4 < 2").select(F.col("p_partkey").alias("import_id"), F.lit("src/a.py").alias("file_path"), F.lit("python").alias("language"), F.concat(F.lit("pkg.m"), (F.col("p_partkey") % 50).cast("string")).alias("module_name"))
-    files = spark.range(20).select(F.concat(F.lit("pkg/m"), F.col("id").cast("string"), F.when(F.col("id") % 2 == 0, ".py").otherwise("/__init__.py")).alias("path"))
-    return resolve.resolve_imports(imports, files)[0].select("import_id", "target_path")
+    """Exact and prefix candidates of four languages; of forty modules twenty are there."""
+    way, m = F.col("p_partkey") % 5, (F.col("p_partkey") % 40).cast("string")
+    pick = lambda *items: F.element_at(F.array(*items), (way + 1).cast("int"))
+    language = pick(*[F.lit(x) for x in ("python", "java", "java", "typescript", "go")])
+    path = pick(*[F.lit(x) for x in ("src/a.py", "X.java", "X.java", "web/sub/x.ts", "main.go")])
+    module = pick(F.concat(F.lit("pkg.m"), m), F.concat(F.lit("com.p"), m), F.concat(F.lit("com.p"), m, F.lit(".*")), F.concat(F.lit("../t"), m), F.concat(F.lit("example.com/mod/g"), m))
+    imports = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("import_id"), path.alias("file_path"), language.alias("language"), module.alias("module_name"))
+    n, even = F.col("id").cast("string"), F.col("id") % 2 == 0
+    paths = [F.concat(F.lit("pkg/m"), n, F.when(even, ".py").otherwise("/__init__.py")), F.concat(F.lit("com/p"), n, F.lit(".java")), F.concat(F.lit("com/p"), n, F.lit("/B.java")), F.concat(F.lit("com/p"), n, F.lit("/A.java")), F.concat(F.lit("web/t"), n, F.when(even, ".ts").otherwise("/index.js")), F.concat(F.lit("g"), n, F.lit("/z.go")), F.concat(F.lit("g"), n, F.lit("/a.go"))]
+    files = spark.range(20).select(F.explode(F.array(*paths)).alias("path"))
+    return resolve.resolve_imports(imports, files, "example.com/mod")[0].select("import_id", "target_path")
 
 
 # -- federation --------------------------------------------------------------------------------------------------
@@ -564,10 +596,10 @@ SHARDS = """fs AS (SELECT *, 'repo' || (id % 25) AS repo_id FROM g_symbols WHERE
 , fe AS (SELECT source_id, target_id, 'repo' || (target_id % 25) AS repo_id FROM g_calls WHERE source_id % 25 = target_id % 25)"""
 
 
-@query(graph_sql("SELECT repo_id, id FROM (SELECT repo_id, id, row_number() OVER (PARTITION BY repo_id ORDER BY pagerank_score DESC, qualified_name, file_path) AS n FROM fs) t WHERE n <= 5", SHARDS))
+@query(graph_sql("SELECT repo_id, id FROM (SELECT repo_id, id, row_number() OVER (PARTITION BY repo_id ORDER BY pagerank_score DESC, qualified_name, file_path) AS n FROM fs) t WHERE n <= 50000", SHARDS))
 def exported_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K18."""
-    return federated.exported_symbols(_shards(spark, sf_dir)[0], 5).select("repo_id", "id")
+    return federated.exported_symbols(_shards(spark, sf_dir)[0]).select("repo_id", "id")
 
 
 @query(graph_sql("""SELECT repo_id, id, round(0.55 * lex + 0.35 * (pagerank_score + 0.1 * ln(1 + i + o)), 6) AS score FROM (
@@ -586,15 +618,15 @@ def shard_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return federated.shard_report(*_shards(spark, sf_dir))
 
 
-CROSS = SHARDS + """, ex AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY pagerank_score DESC, qualified_name, file_path) AS en FROM fs) t WHERE en <= 50)
+CROSS = SHARDS + """, ex AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY pagerank_score DESC, qualified_name, file_path) AS en FROM fs) t WHERE en <= 50000)
 , dp AS (SELECT DISTINCT 'repo' || (s_suppkey % 25) AS repo_id, 'f' || s_suppkey AS file_path, 'part.' || p_name AS module_name FROM supplier JOIN part ON p_partkey = s_suppkey)
 , cr AS (SELECT d.repo_id AS source_repo_id, d.module_name AS source_qualified_name, d.file_path AS source_file_path, ex.repo_id AS target_repo_id, ex.qualified_name AS target_qualified_name, ex.file_path AS target_file_path,
-    row_number() OVER (PARTITION BY d.repo_id, d.file_path, d.module_name ORDER BY ex.pagerank_score DESC, ex.qualified_name, ex.repo_id) AS n
+    row_number() OVER (PARTITION BY d.repo_id, d.file_path, d.module_name ORDER BY ex.pagerank_score DESC, ex.qualified_name, ex.repo_id, ex.file_path) AS n
   FROM dp d JOIN ex ON ex.qualified_name LIKE d.module_name || '.%')"""
 
 
 def _cross(spark: SparkSession, sf_dir: str) -> DataFrame:
-    exported = federated.exported_symbols(_shards(spark, sf_dir)[0], 50)
+    exported = federated.exported_symbols(_shards(spark, sf_dir)[0])
     part = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("s_suppkey"), "p_name")
     deps = read(spark, sf_dir, "supplier").select("s_suppkey").join(part, "s_suppkey").select(F.concat(F.lit("repo"), (F.col("s_suppkey") % 25).cast("string")).alias("repo_id"), F.concat(F.lit("f"), F.col("s_suppkey").cast("string")).alias("file_path"), F.concat(F.lit("part."), F.col("p_name")).alias("module_name"), F.lit("python").alias("language")).distinct()
     return federated.resolve_external(deps, exported)
@@ -606,12 +638,15 @@ def cross_repo_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cross(spark, sf_dir)
 
 
-@query(graph_sql("""SELECT repo_id, min(way) AS way FROM (SELECT 'repo3' AS repo_id, 0 AS way UNION ALL SELECT repo_id, 1 FROM ex WHERE name = 'part.red widget' OR qualified_name = 'part.red widget'
-  UNION ALL SELECT unnest([source_repo_id, target_repo_id]), 2 FROM cr WHERE n <= 20 AND source_repo_id <> target_repo_id AND (source_qualified_name = 'part.red widget' OR target_qualified_name = 'part.red widget')) t GROUP BY 1 ORDER BY 2, 1 LIMIT 16""", CROSS))
+@query(graph_sql("""SELECT repo_id, min(way) AS way FROM (SELECT 'repo3' AS repo_id, 0 AS way UNION ALL SELECT * FROM al
+  UNION ALL SELECT target_repo_id, 2 FROM ce WHERE source_qualified_name = 'part.red widget' AND source_repo_id IN (SELECT repo_id FROM kn)
+  UNION ALL SELECT source_repo_id, 2 FROM ce WHERE target_qualified_name = 'part.red widget' AND target_repo_id IN (SELECT repo_id FROM kn)) t GROUP BY 1 ORDER BY 2, 1 LIMIT 16""",
+    CROSS + ", ce AS (SELECT * FROM cr WHERE n <= 20 AND source_repo_id <> target_repo_id), al AS (SELECT 'repo' || k AS repo_id, 1 AS way FROM range(5) r(k)), kn AS (SELECT 'repo3' AS repo_id UNION SELECT repo_id FROM al)"))
 def shard_route(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """U5, R2."""
-    exported = federated.exported_symbols(_shards(spark, sf_dir)[0], 50)
-    return federated.route(exported, _cross(spark, sf_dir), "part.red widget", "repo3")
+    """No repository exports the module's name, so all five that are enabled are asked, and those that import it."""
+    exported = federated.exported_symbols(_shards(spark, sf_dir)[0])
+    shards = spark.range(25).select(F.concat(F.lit("repo"), F.col("id").cast("string")).alias("repo_id"), (F.col("id") < 5).alias("enabled"))
+    return federated.route(exported, _cross(spark, sf_dir), shards, "part.red widget", "repo3").select("repo_id", "way")
 
 
 # -- scalar functions --------------------------------------------------------------------------------------------

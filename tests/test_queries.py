@@ -1,5 +1,6 @@
 import pytest
 
+from graphloom import queries_code  # noqa: F401
 from graphloom.queries import ORACLE_SQL, QUERIES
 
 from .oracle import compare
