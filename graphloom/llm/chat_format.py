@@ -11,8 +11,8 @@ template is ever part of a text and unescaping is exact.
 
 Defined results: a null text or part list is an empty body; a null role is an empty role; a part of unknown kind
 is a document part; a part without units costs what its kind costs by default; turns with equal numbers are ordered
-by role and text, null first; repeated rows are turns of their own; no rows give no conversations. Conversations
-of any length are read as a stream of sorted rows, so a hot one never is in memory at once.
+by role and text, null first; repeated rows are turns of their own; extra columns are ignored, and so is one named
+parts that holds no typed parts; no rows give no conversations. Conversations and texts of any length are read as a stream of sorted rows, so a hot one never is in memory at once.
 """
 
 from __future__ import annotations
@@ -114,9 +114,15 @@ def parse_turns(formatted: str) -> list[tuple[str, str]]:
     return [(unescape(m[1]), unescape(m[2])) for m in _TURN.finditer(formatted)]
 
 
+def _has_parts(conversations: DataFrame) -> bool:
+    """Whether a column ``parts`` holds typed parts; one of another type is an extra column."""
+    kind = {f.name: f.dataType for f in conversations.schema.fields}.get("parts")
+    return isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType) and kind.elementType.names == PARTS.elementType.names
+
+
 def format_conversations(conversations: DataFrame) -> DataFrame:
     """Formatted turns of ``conversations`` (conv_id, turn, role, and ``parts`` or ``text``); row by row, no shuffle."""
-    body = F.col("parts").cast(PARTS) if "parts" in conversations.columns else F.array(F.struct(F.lit("text").alias("kind"), F.col("text").alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("bigint").alias("units"))).cast(PARTS)
+    body = F.col("parts").cast(PARTS) if _has_parts(conversations) else F.array(F.struct(F.lit("text").alias("kind"), F.col("text").alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("bigint").alias("units"))).cast(PARTS)
     rows = conversations.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), F.col("role").cast("string").alias("role"), body.alias("parts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,7 +10,7 @@ of groups grows with the rows, and each group leaves a bin or two that are not f
 search and are sequences of their own. A document is cut only if it is longer than a sequence.
 
 Defined results: a null or empty text is one piece with just the end id; repeated rows are packed as often as they
-occur; null identifiers are kept; extra columns are ignored; no rows give no rows.
+occur; a text of any length is cut into pieces; null identifiers are kept; extra columns are ignored, whatever their names; no rows give no rows.
 """
 
 from __future__ import annotations

@@ -2,15 +2,17 @@
 
 Every token falls into one of ``BUCKETS`` buckets by hash; a bucket has a sparse ternary index vector drawn from a fixed
 seed. A bucket's word vector is the sum of the index vectors of its neighbours, one and two places away, over all
-documents. Tasks sum up their own matrix and send it in blocks of rows; the sums of all tasks meet by block, and the
-whole matrix has a fixed size however large the corpus is. A document is the mean and the spread of its tokens' vectors
+documents. Tasks sum up their own matrix and send it in blocks of rows as whole numbers; the sums of all tasks meet by
+block in two steps, so the result is the same however the documents are dealt out, and the whole matrix has a fixed size
+however large the corpus is. A document is the mean and the spread of its tokens' vectors
 and of how well neighbours fit each other. The network has one hidden layer; a temperature fitted on rows that
 training did not see calibrates its probabilities.
 
 Word vectors use the texts of all documents and no labels. Labels come from at most ``TRAIN_ROWS`` labelled rows, chosen
 by a hash of their identifiers, never from held-out ones; nothing but the text goes into a score.
 
-Defined results: a null or empty text has zero features and a score like any other; labels that are null or whose
+Defined results: a null or empty text has zero features and a score like any other; a text of any length is pooled in
+slices of its tokens; labels that are null or whose
 document is missing are left out, repeated ones count as often as they occur; with labels of one kind only, or none, every
 score is that kind's share (0.5 without any); repeated rows and null identifiers are kept, and a null identifier is never
 held out nor learnt from; extra columns are ignored; no rows give no rows.
@@ -25,15 +27,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, learning_fold, text_steps
+from .common import documents, learning_fold, shuffle_partitions, text_steps
 
 BUCKETS = 8_192
 DIMENSIONS = 48
 NONZERO = 4
 BLOCK_ROWS = 256
+#: Parts into which the tasks' matrices are dealt before all parts of a block meet.
+SALTS = 64
 SEED = 7
 #: Most labelled rows that training sees (the bound of the sample).
 TRAIN_ROWS = 20_000
@@ -88,31 +93,46 @@ def context_sums(docs: list[np.ndarray], places: np.ndarray, signs: np.ndarray)
     return out.reshape(BUCKETS + 1, DIMENSIONS)[:BUCKETS]
 
 
+def packed(sums: np.ndarray) -> bytes:
+    """Whole numbers in the narrowest of 16, 32 and 64 bits, behind their width."""
+    most = int(np.abs(sums).max(initial=0))
+    width = 2 if most < 1 << 15 else 4 if most < 1 << 31 else 8
+    return bytes([width]) + sums.astype(f"<i{width}").tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<i{data[0]}", offset=1).astype(np.int64).reshape(BLOCK_ROWS, DIMENSIONS)
+
+
 def word_vectors(docs: DataFrame) -> np.ndarray:
     """The matrix of all buckets' vectors, each of length one (or zero)."""
-    shape = "block int, sums binary"
+    shape = "block int, salt int, sums binary"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places, signs = index_vectors()
-        total = np.zeros((BUCKETS, DIMENSIONS))
+        total = np.zeros((BUCKETS, DIMENSIONS), np.int64)
         for batch in batches:
             for _, texts in text_steps(batch, 0, 4_000_000):
-                total += context_sums([_BUCKETS.of(t) for t in texts], places, signs)
+                total += np.rint(context_sums([_BUCKETS.of(t) for t in texts], places, signs)).astype(np.int64)
         blocks = [i for i in range(BUCKETS // BLOCK_ROWS) if total[i * BLOCK_ROWS : (i + 1) * BLOCK_ROWS].any()]
-        data = [total[i * BLOCK_ROWS : (i + 1) * BLOCK_ROWS].astype("<f4").tobytes() for i in blocks]
-        yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(data, pa.binary())], names=["block", "sums"])
+        data = [packed(total[i * BLOCK_ROWS : (i + 1) * BLOCK_ROWS]) for i in blocks]
+        own = TaskContext.get().partitionId() % SALTS
+        yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array([own] * len(blocks), pa.int32()), pa.array(data, pa.binary())], names=["block", "salt", "sums"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums[block] = sums.get(block, 0) + np.frombuffer(data, "<f4").astype(np.float64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.astype("<f8").tobytes() for v in sums.values()], pa.binary())], names=["block", "sums"])
-
-    parts = docs.select(F.col("text").cast("string")).mapInArrow(count, shape).repartition(BUCKETS // BLOCK_ROWS, "block").mapInArrow(add, shape)
+            for block, data in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                sums[block] = sums.get(block, 0) + unpacked(data)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([0] * len(sums), pa.int32()), pa.array(list(map(packed, sums.values())), pa.binary())], names=["block", "salt", "sums"])
+
+    blocks = BUCKETS // BLOCK_ROWS
+    sent = docs.select(F.col("text").cast("string")).mapInArrow(count, shape)
+    # in two steps, so that what one task adds up is a share of all tasks' matrices
+    parts = sent.repartition(shuffle_partitions(docs.sparkSession), "block", "salt").mapInArrow(add, shape).repartition(blocks, "block").mapInArrow(add, shape)
     vectors = np.zeros((BUCKETS, DIMENSIONS))
     for r in parts.collect():  # BUCKETS x DIMENSIONS numbers in all
-        vectors[r["block"] * BLOCK_ROWS : (r["block"] + 1) * BLOCK_ROWS] = np.frombuffer(r["sums"], "<f8").reshape(BLOCK_ROWS, DIMENSIONS)
+        vectors[r["block"] * BLOCK_ROWS : (r["block"] + 1) * BLOCK_ROWS] = unpacked(r["sums"])
     length = np.linalg.norm(vectors, axis=1, keepdims=True)
     return (vectors / np.where(length > 0, length, 1)).astype(np.float32)
 

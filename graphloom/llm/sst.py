@@ -7,8 +7,12 @@ of index and filter, the number of entries and ids, a crc32 and the magic string
 finds the block by binary search and reads only that.
 
 Keys are 8 bytes whose order as bytes is the order of the identifiers. A null identifier is the empty key, before all
-others. Repeated identifiers keep all their rows, ordered by ids. A null or empty text has only the end id. Shards
-of a task that was lost or repeated are never listed in the manifest, so they do no harm.
+others. Repeated identifiers keep all their rows, ordered by the crc32 of their ids, then by ids. Rows are dealt out by
+ranges of that order, so an identifier, or none, that holds many rows takes several ranges.
+
+Defined results: a null or empty text has only the end id; a text of any length is one value; extra columns are
+ignored, whatever their names; no rows give no shards and no documents. Shards of a task that was lost or repeated are
+never listed in the manifest, so they do no harm.
 """
 
 from __future__ import annotations
@@ -33,6 +37,9 @@ from .common import documents, fresh_path, materialize, per_step, shuffle_partit
 MAGIC = b"GLSST01\n"
 _FOOTER = struct.Struct("<QIQIQQI8s")
 BLOCK_BYTES = 64 * 1024
+#: Documents of a range where the shuffle's parts are too few, and the most ranges; a range writes as many shards as it needs.
+RANGE_ROWS = 200_000
+MOST_RANGES = 10_000
 SHARD_BYTES = 32 * 1024 * 1024
 BLOOM_BITS_PER_KEY = 10
 BLOOM_PROBES = 7
@@ -186,20 +193,55 @@ class Shard:
         self.file.close()
 
 
-def token_rows(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """(doc_id, ids as little-endian bytes of the vocabulary's width), the end id last."""
+class Ranges:
+    """Borders of ranges of (identifier, crc32 of ids); an identifier that is several borders takes that many ranges more."""
+
+    def __init__(self, nulls: int, borders: list[int]) -> None:
+        self.nulls, self.borders = nulls, np.array(sorted(borders), np.int64)
+
+    @property
+    def count(self) -> int:
+        return self.nulls + len(self.borders) + 1
+
+    def of(self, identifier: int | None, crc: int) -> int:
+        if identifier is None:
+            return crc * (self.nulls + 1) >> 32
+        low, high = (int(np.searchsorted(self.borders, identifier, side)) for side in ("left", "right"))
+        return self.nulls + low + (crc * (high - low + 1) >> 32 if high - low > 1 else 0)
+
+
+def ranges_of(docs: DataFrame, least: int) -> Ranges:
+    """Borders of ``least`` ranges, or more for many documents, from the identifiers alone."""
+    keys = docs.select(F.col("doc_id").cast("bigint").alias("k"))
+    counts = keys.agg(F.count("*").alias("rows"), F.count("k").alias("known")).first()
+    n = max(least, min(MOST_RANGES, -(-counts["rows"] // RANGE_ROWS)))
+    if n < 2 or not counts["rows"]:
+        return Ranges(0, [])
+    nulls = round((n - 1) * (1 - counts["known"] / counts["rows"]))
+    wanted = n - nulls
+    known = keys.select(F.col("k").cast("double").alias("k")).where("k is not null")
+    found = known.approxQuantile("k", [i / wanted for i in range(1, wanted)], 0.2 / wanted) if wanted > 1 else []
+    return Ranges(nulls, [max(-(1 << 63), min((1 << 63) - 1, int(b))) for b in found])
+
+
+def token_rows(docs: DataFrame, path: str, end_id: int, ranges: Ranges | None = None) -> DataFrame:
+    """(doc_id, ids as little-endian bytes of the vocabulary's width, their crc32, range), the end id last."""
+    ranges = ranges or Ranges(0, [])
 
     def make():
         encode = tokens.encoder(path)
         end = np.array([end_id], encode.dtype)
 
         def work(keys: list, texts: list) -> dict:
-            return {"doc_id": keys, "ids": [np.concatenate([encode.ids(t), end]).tobytes() for t in texts]}
+            ids = [np.concatenate([encode.ids(t), end]).tobytes() for t in texts]
+            crc = list(map(zlib.crc32, ids))
+            return {"doc_id": keys, "ids": ids, "crc": crc, "part": list(map(ranges.of, keys, crc))}
 
         return work
 
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(per_step(make, schema), "doc_id bigint, ids binary")
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("crc", pa.int64()), ("part", pa.int32())])
+    rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+    return rows.mapInArrow(per_step(make, schema), "doc_id bigint, ids binary, crc bigint, part int")
 
 
 def write_shards(spark: SparkSession, docs: DataFrame, path: str | None = None, end_id: int = 1) -> DataFrame:
@@ -210,11 +252,9 @@ def write_shards(spark: SparkSession, docs: DataFrame, path: str | None = None,
     """
     path = path or tokens.default_tokenizer()
     width = tokens.encoder(path).dtype.itemsize
-    n = shuffle_partitions(spark)
-    borders = sorted(set(docs.select(F.col("doc_id").cast("double").alias("k")).where("k is not null").approxQuantile("k", [i / n for i in range(1, n)], 0.2 / n))) if n > 1 else []
-    part = F.size(F.filter(F.array(*[F.lit(int(b)) for b in borders]), lambda b: b < F.col("doc_id"))) if borders else F.lit(0)
-    ordered = token_rows(docs, path, end_id).withColumn("part", F.coalesce(F.when(F.col("doc_id").isNotNull(), part), F.lit(0)).cast("int"))
-    ordered = ordered.repartitionById(len(borders) + 1, "part").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
+    ranges = ranges_of(docs, shuffle_partitions(spark))
+    ordered = token_rows(docs, path, end_id, ranges)
+    ordered = ordered.repartitionById(ranges.count, "part").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "crc", "ids").select("doc_id", "ids", "part")
     folder = fresh_path(spark, "shards")
     folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
     schema = pa.schema([("path", pa.string()), ("part", pa.int32()), ("seq", pa.int32()), ("entries", pa.int64()), ("ids", pa.int64()), ("bytes", pa.int64())])

@@ -3,6 +3,7 @@ from collections import defaultdict
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from graphloom.llm import chat_format as c
 
@@ -52,3 +53,9 @@ def test_edges(spark):
     assert got[None]["turns_sha256"] == hashlib.sha256(b"\n\n").hexdigest()
     assert got[2]["loss_chars"] == 2 and got[2]["n_turns"] == 2
     assert c.read_back(c.format_conversations(df.limit(0))).count() == 0
+
+
+def test_a_column_of_the_name_parts_without_parts_is_ignored(spark):
+    plain = spark.createDataFrame([(1, 0, "user", "hello"), (1, 1, "assistant", None)], "conv_id long, turn long, role string, text string")
+    named = plain.withColumn("parts", F.lit(5)).withColumn("formatted", F.lit("x"))
+    assert sorted(c.format_conversations(named).collect()) == sorted(c.format_conversations(plain).collect())

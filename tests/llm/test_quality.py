@@ -189,3 +189,33 @@ def test_language_edges(spark, edge, empty):
 
 def test_profiles_are_limited_before_they_are_dealt_out(small):
     assert "WindowGroupLimit" in language_id.profiles(language_id.learning_rows(small))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sums_are_whole_and_do_not_depend_on_the_split(spark, small):
+    rng = np.random.default_rng(2)
+    for most in (0, 100, 1 << 20, 1 << 40):
+        own = rng.integers(-most, most + 1, (quality_classifier.BLOCK_ROWS, quality_classifier.DIMENSIONS))
+        assert (quality_classifier.unpacked(quality_classifier.packed(own)) == own).all()
+    docs = small.select("text").limit(60).cache()
+    one, many = (quality_classifier.word_vectors(docs.repartition(n)) for n in (1, 7))
+    assert (one == many).all()
+    places, signs = quality_classifier.index_vectors()
+    buckets = [quality_classifier._BUCKETS.of(r["text"]) for r in docs.collect()]
+    want = quality_classifier.context_sums(buckets, places, signs)
+    length = np.linalg.norm(want, axis=1, keepdims=True)
+    assert np.allclose(one, want / np.where(length > 0, length, 1), atol=1e-6)
+
+
+def test_pooling_against_brute_force():
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(size=(quality_classifier.BUCKETS, quality_classifier.DIMENSIONS)).astype(np.float32)
+    for n in (0, 1, 2, 500):
+        b = rng.integers(0, 40, n)
+        got = quality_classifier.pooled(b, vectors)
+        if not n:
+            assert not got.any()
+            continue
+        own = vectors[b].astype(float)
+        near = [float(own[i] @ own[i + 1]) for i in range(n - 1)]
+        want = [*own.mean(axis=0), *own.std(axis=0), np.mean(near) if near else 0, np.std(near) if near else 0, len(set(b.tolist())) / n, math.log1p(n) / 10]
+        assert np.allclose(got, want, atol=5e-3)  # a root of float32 differences

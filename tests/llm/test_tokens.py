@@ -189,3 +189,24 @@ def test_every_capacity_holds(rule):
         assert sorted(offsets[bins == b]) == [0, *np.cumsum(own[np.argsort(offsets[bins == b])])[:-1]]
     with pytest.raises(ValueError):
         packing.best_fit(np.array([101]), capacity)
+
+
+def test_ranges_keep_the_order_and_split_hot_identifiers():
+    ranges = sst.Ranges(3, [5, 7, 7, 7, 7, 9])
+    rng = random.Random(1)
+    rows = sorted((k is not None, k or 0, rng.getrandbits(32)) for k in [None] * 50 + [7] * 200 + list(range(-3, 14)) * 3)
+    parts = [ranges.of(k if known else None, crc) for known, k, crc in rows]
+    assert parts == sorted(parts) and max(parts) < ranges.count == 10
+    assert len({p for (known, k, _), p in zip(rows, parts, strict=True) if known and k == 7}) >= 4
+    assert len({p for (known, *_), p in zip(rows, parts, strict=True) if not known}) == 4
+
+
+def test_op2_with_a_hot_identifier(spark, library):
+    rng = random.Random(3)
+    docs = [(7 if i % 3 else None if i % 2 else i, " ".join(rng.choices(["a", "the", "of", "dog"], k=i % 50))) for i in range(600)]
+    rows = sst.read_shards(spark, sst.write_shards(spark, spark.createDataFrame(docs, "doc_id long, text string"))).collect()
+    assert Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in rows) == Counter((k, len(ids := _all_ids(library, t)), _crc(ids)) for k, t in docs)
+    rows.sort(key=lambda r: r["start"])
+    assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(rows, rows[1:], strict=False))
+    keys = [(r["doc_id"] is not None, r["doc_id"] or 0) for r in rows]
+    assert keys == sorted(keys)
