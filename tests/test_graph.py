@@ -142,7 +142,7 @@ def test_context(spark):
     e = edges(spark, (1, 2), (2, 3))
     rows = context.get_context(spark, s, e, spark.createDataFrame([(0, 1)], "seed_id long, id long"), "alpha", budget=7, signatures_only=True)
     assert found(rows, "name", "position") == [("alpha", 0), ("beta", 1)]
-    quality = context.quality(rows, spark.createDataFrame([(0, 1)], "seed_id long, id long"), e, 7).first()
+    quality = context.quality(rows, spark.createDataFrame([(0, 1)], "seed_id long, id long"), 7).first()
     assert quality["connectedness"] == 1.0 and quality["seed_hit_rate"] == 1.0 and quality["included_count"] == 2
     assert context.topology_order({1: 0.1, 2: 0.5, 3: 0.5, 4: 0.9}, {1}, {1: {2, 3}, 2: {1}, 3: {1}}) == [(1, "seed"), (2, "graph_neighbor"), (3, "graph_neighbor"), (4, "rank_fallback")]
 
