@@ -13,8 +13,14 @@ is a member whose groups are the largest, as the middle of a cluster of copies i
 less so, or has the greater identifier, goes. So no two texts that stay and share a group are near copies, a group of
 n copies costs n comparisons, and no group is one task's rows.
 
-Equal texts count once, and the smallest identifier stands for them; a null one comes last. Nothing but emptiness
-tests comes to the driver.
+Equal texts count once, and the smallest identifier stands for them; a null one comes last.
+
+Texts are not dealt out to find the few that matter. Bloom filters of keys, at most ``FILTER_WORDS`` words that are sent
+to all executors, say which texts may be compared, and which rows may go or have equals. A row that passes no such filter
+stays where it is. What stays but passes (by chance, or as it has equals) is known from the table of keys; a second
+filter finds these rows, which are dealt out and decided by their keys, and the others that passed go. A full filter
+lets more rows through and changes no result. Nothing but counts and emptiness tests comes to the driver, beside the
+filters' words on their way.
 
 Defined results: a null text is empty, and all texts without words are equal or near copies; a shorter text than five
 words is one shingle; a text of any length is a set of 8 bytes a word; unlike texts under one identifier, or under none,
@@ -24,7 +30,8 @@ whatever their names; no rows give no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +49,8 @@ BANDS, ROWS = 40, 8
 SEED = 42
 #: Values of shingles that are multiplied at a time.
 STEP = 256
+#: Bits of a filter for each key, those set in the key's word of 64, and the most words of a filter.
+FILTER_BITS, PROBES, FILTER_WORDS = 16, 4, 2**20
 _FACTORS = np.random.default_rng(SEED).integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -130,6 +139,21 @@ def _near_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(2).take(pa.array(found, pa.int64()))], names=["me"])
 
 
+def filter_of(spark: SparkSession, keys: DataFrame) -> Callable[[DataFrame, str], DataFrame]:
+    """Joins rows (a column me) by ``left_semi`` or ``left_anti`` with a filter of ``keys`` (me), without moving them.
+
+    All rows whose key is among ``keys`` pass the first and some others; the second gives the rest.
+    """
+    words = max(1, min(FILTER_WORDS, -(-keys.count() * FILTER_BITS // 64)))
+    h = F.xxhash64("me")
+    word = F.pmod(F.shiftrightunsigned(h, 6 * PROBES), F.lit(words).cast("bigint"))
+    places = [F.shiftrightunsigned(h, 6 * i).bitwiseAND(F.lit(63).cast("bigint")).cast("int") for i in range(PROBES)]
+    mask = reduce(lambda a, b: a.bitwiseOR(b), [F.call_function("shiftleft", F.lit(1).cast("bigint"), p) for p in places])
+    found = keys.select(word.alias("word"), mask.alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("bits"))
+    found = F.broadcast(materialize(spark, found, "filter"))
+    return lambda rows, how: rows.join(found, (word == F.col("word")) & (F.col("bits").bitwiseAND(mask) == mask), how)
+
+
 def _crowded(rows: DataFrame) -> DataFrame:
     """The rows of bands that have two members or more."""
     return rows.join(rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band"), "band", "left_semi")
@@ -153,16 +177,20 @@ def gone(spark: SparkSession, docs: DataFrame, contents: DataFrame) -> DataFrame
     while not rows.isEmpty():
         if texts is None:
             own = docs.select(key_of().alias("me"), F.col("text").cast("string").alias("text"))
-            wanted = rows.select("me").distinct().hint("shuffle_hash")
-            texts = materialize(spark, own.join(wanted, "me", "left_semi").groupBy("me").agg(F.first("text").alias("text")), "candidate_texts")
+            wanted = materialize(spark, rows.select("me").distinct(), "candidates")
+            own = filter_of(spark, wanted)(own, "left_semi").groupBy("me").agg(F.first("text").alias("text"))
+            texts = materialize(spark, own, "candidate_texts")
         place = F.struct("standing", "me")
         lead = rows.groupBy("band", F.pmod("me.h", F.lit(leaders)).alias("sub")).agg(F.min(F.struct(place.alias("place"), "size")).alias("lead"))
         lead = materialize(spark, lead.select("band", "lead.place", "lead.size").toDF("band", "other", "other_size"), "leaders")
         alike = LEAST[1] * F.least("size", "other_size") >= LEAST[0] * F.greatest("size", "other_size")
         pairs = rows.withColumn("place", place).join(lead, "band").where((F.col("place") != F.col("other")) & alike)
         pairs = pairs.select(F.least("place", "other")["me"].alias("a"), F.greatest("place", "other")["me"].alias("b")).distinct()
-        later = pairs.join(texts.toDF("b", "text_b"), "b")
-        both = later.join(texts.toDF("a", "text_a"), "a")
+        pairs = materialize(spark, pairs, "pairs")
+        members = pairs.select(F.col("a").alias("me")).distinct().unionByName(pairs.select(F.col("b").alias("me")).distinct())
+        asked = filter_of(spark, members)(texts, "left_semi")
+        later = pairs.join(asked.toDF("b", "text_b"), "b")
+        both = later.join(asked.toDF("a", "text_a"), "a")
         found = materialize(spark, both.select("text_a", "text_b", F.col("b").alias("me")).mapInArrow(_near_pairs, contents.select("me").schema).distinct(), "near_copies")
         went = found if went is None else went.unionByName(found)
         rest = rows.join(lead.select("band", F.col("other.me").alias("me")), ["band", "me"], "left_anti").join(found, "me", "left_anti")
@@ -171,26 +199,26 @@ def gone(spark: SparkSession, docs: DataFrame, contents: DataFrame) -> DataFrame
     return contents.select("me").limit(0) if went is None else went.distinct()
 
 
-def kept_rows(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """(me, n) of the texts that stay, by identifier, and how many equal rows each has."""
+def decided(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """(me, n, stays) of the texts, by identifier: how many equal rows each has, and whether it stays."""
     found = materialize(spark, sketches(docs), "sketches")
     me = F.struct("nameless", "doc_id", "h")
     contents = found.groupBy("digest").agg(F.min(me).alias("me"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
     contents = materialize(spark, contents.drop("digest"), "distinct_texts")
-    stay = contents.select("me").join(gone(spark, docs, contents), "me", "left_anti")
+    stay = contents.select("me").join(gone(spark, docs, contents), "me", "left_anti").withColumn("stays", F.lit(True))
     times = found.groupBy(me.alias("me")).agg(F.count("*").alias("n"))
-    return materialize(spark, stay.join(times, "me"), "kept_rows")
+    return materialize(spark, times.join(stay, "me", "left").select("me", "n", F.coalesce("stays", F.lit(False)).alias("stays")), "decided")
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without near copies by five-word shingles; of rows with equal identifier and text, one stays."""
-    keep = kept_rows(spark, docs)
+    keys = decided(spark, docs)
     names = quoted(docs.columns)
     rows = docs.select(key_of().alias("me"), F.struct(*names).alias("row"))
-    # the hint keeps one plan at every size: keys are hashed by partition, texts are not sorted
-    kept = rows.join(keep.where("n = 1").select("me").hint("shuffle_hash"), "me", "left_semi")
-    again = keep.where("n > 1")
-    if not again.isEmpty():
-        repeated = rows.join(again.select("me").hint("shuffle_hash"), "me", "left_semi").groupBy("me")
-        kept = kept.unionByName(repeated.agg(F.min_by("row", F.xxhash64(*[f"row.{n}" for n in names])).alias("row")))
-    return kept.select("row.*")
+    touched = filter_of(spark, keys.where("n > 1 or not stays").select("me"))
+    again = materialize(spark, touched(keys.where("stays").select("me"), "left_semi"), "passing_keys")
+    maybe = filter_of(spark, again)(touched(rows, "left_semi"), "left_semi")
+    # rows of one key become one before they are dealt out, so a key of many rows is no task's load
+    one = maybe.groupBy("me").agg(F.min_by("row", F.xxhash64(*[f"row.{n}" for n in names])).alias("row"))
+    kept = one.join(again, "me", "left_semi").select("me", "row")
+    return touched(rows, "left_anti").unionByName(kept).select("row.*")

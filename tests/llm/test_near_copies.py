@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 
@@ -22,6 +23,17 @@ def changed(rng, text, n):
     return " ".join(words)
 
 
+def dealt_out(spark):
+    """Bytes of all shuffles until now."""
+    context = spark.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty(30_000)
+    time.sleep(0.3)  # figures of executors are told again after some time
+    spark.range(1).repartition(2).count()
+    context.listenerBus().waitUntilEmpty(30_000)
+    found = context.statusStore().executorList(False)
+    return sum(found.apply(i).totalShuffleWrite() for i in range(found.length()))
+
+
 def test_shingles_and_similarity():
     rng = random.Random(1)
     texts = [None, "", " \n", "a", "A", "a b c d", "a b c d e", "a B c d e f", "x " * 40, " ".join(rng.choices("abcd", k=300))]
@@ -82,3 +94,35 @@ def test_simhash_groups_are_candidates(spark):
     contents = near_copies.sketches(spark.createDataFrame([(i, t) for i, t in enumerate(["a b c d e f g " * 30, "a b c d e f g " * 31, "z"])], "doc_id long, text string"))
     contents = contents.selectExpr("struct(nameless, doc_id, h) AS me", "size", "fp", "array(doc_id) AS bands")  # no band is shared
     assert {r["me"]["doc_id"] for r in near_copies.candidates(spark, contents).collect()} == {0, 1}
+
+
+def test_stage_deals_out_only_texts_that_matter(spark, tmp_path):
+    rng = random.Random(5)
+    first = [rng.randbytes(8_000).hex(" ", 4) for _ in range(300)]  # 2,000 words that don't compress to less than half
+    rows = [(i, t) for i, t in enumerate([*first, *first[:10], *[changed(rng, t, 20) for t in first[10:20]]])]
+    spark.createDataFrame([*rows, rows[30]], "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/docs")
+    before = dealt_out(spark)
+    near_copies.dedup_stage(spark, spark.read.parquet(f"{tmp_path}/docs"), "").write.parquet(f"{tmp_path}/kept")
+    assert dealt_out(spark) - before < sum(len(t) for t in first) / 4  # all texts dealt out once are half of that sum
+    assert sorted(r["doc_id"] for r in spark.read.parquet(f"{tmp_path}/kept").collect() if not 10 <= r["doc_id"] < 20 and r["doc_id"] < 310) == [*range(10), *range(20, 300)]
+    assert spark.read.parquet(f"{tmp_path}/kept").count() == 300
+
+
+def test_filters_lose_nothing(spark, monkeypatch):
+    keys = spark.range(3_000).selectExpr("struct(0 AS nameless, id AS doc_id, xxhash64(id) AS h) AS me")
+    rows = spark.range(9_000).selectExpr("struct(0 AS nameless, id AS doc_id, xxhash64(id) AS h) AS me")
+    for most in (2**20, 1):
+        monkeypatch.setattr(near_copies, "FILTER_WORDS", most)
+        passing = near_copies.filter_of(spark, keys)
+        through, rest = ({r["me"]["doc_id"] for r in passing(rows, how).collect()} for how in ("left_semi", "left_anti"))
+        assert through | rest == set(range(9_000)) and not through & rest and set(range(3_000)) <= through
+        assert len(through) < 3_200 if most > 1 else len(through) == 9_000  # a full filter lets all through
+    assert {r["me"]["doc_id"] for r in near_copies.filter_of(spark, keys.limit(0))(keys, "left_anti").collect()} == set(range(3_000))
+
+
+def test_a_full_filter_changes_no_result(spark, edge, monkeypatch):
+    runs = []
+    for most in (2**20, 1):
+        monkeypatch.setattr(near_copies, "FILTER_WORDS", most)
+        runs.append(sorted(map(str, near_copies.dedup_stage(spark, edge, "").collect())))
+    assert runs[0] == runs[1] and runs[0]
