@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom.functions import scalar
@@ -142,10 +143,24 @@ def workspace(spark: SparkSession, path: str, fallback: str) -> DataFrame:
     return own if not own.isEmpty() else spark.createDataFrame([(fallback,)], "path string").select(F.concat(name, F.lit("-"), F.substring(F.sha2("path", 256), 1, 8)).alias("root_id"), "path")
 
 
+#: Lines of a file that are merged together, so that a long file is several groups.
+HINT_BLOCK = 1024
+
+
 def semantic_hints(raw: DataFrame, most: int = 512) -> DataFrame:
-    """(file_path, line, receiver, owner_type) of hints with line_start, line_end; a hint covers at most 513 lines."""
+    """(file_path, line, receiver, owner_type) of hints with line_start, line_end; a hint covers at most 513 lines.
+
+    Ranges are dealt out, not lines: in order of their start each gives the lines that those before it don't reach, so
+    every line comes once and nothing is compared after ranges are opened.
+    """
     last = F.least(F.greatest(F.coalesce("line_end", "line_start"), F.col("line_start")), F.col("line_start") + most)
-    return raw.select("file_path", F.explode(F.sequence("line_start", last)).alias("line"), "receiver", "owner_type").distinct()
+    ranges = raw.where("line_start IS NOT NULL").select("file_path", "receiver", "owner_type", F.col("line_start").alias("_from"), last.alias("_to"))
+    block = lambda c: F.floor(F.col(c) / HINT_BLOCK).cast("int")
+    parts = ranges.withColumn("_b", F.explode(F.sequence(block("_from"), block("_to"))))
+    parts = parts.withColumns({"_from": F.greatest("_from", F.col("_b") * HINT_BLOCK), "_to": F.least("_to", F.col("_b") * HINT_BLOCK + (HINT_BLOCK - 1))})
+    before = W.partitionBy("file_path", "receiver", "owner_type", "_b").orderBy("_from").rowsBetween(W.unboundedPreceding, -1)
+    fresh = parts.withColumn("_from", F.greatest("_from", F.max("_to").over(before) + 1)).where("_from <= _to")
+    return fresh.select("file_path", F.explode(F.sequence("_from", "_to")).alias("line"), "receiver", "owner_type")
 
 
 def go_module(spark: SparkSession, path: str) -> str | None:

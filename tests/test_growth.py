@@ -1,6 +1,7 @@
 """Work that grows with the input and the results, not with pairs of rows or opened ranges."""
 
 from graphloom.operators import resolve
+from graphloom.sources import files
 
 from .measured import measured
 
@@ -27,3 +28,13 @@ def test_parts_and_hints_of_names_are_found_by_text(spark):
         "part": [(1, "receiver_scoped", 1.0)], "first": [(1, "receiver_scoped", 1.0)], "text": [(2, "import_scoped", 1.0)], "ends": [(3, "import_scoped", 1.0)],
         "alias": [(3, "import_scoped", 1.0)], "self": [(4, "any", 1.0)],
     }
+
+
+def test_hints_deal_out_ranges_not_lines(spark):
+    rows = [("a", s, e, "r", t) for t in ("T", None) for s, e in ((1, 400), (1, 400), (50, 60), (300, 700), (1000, 1100), (1020, 1030), (-5, 3), (9, None), (None, 7), (2000, 1), (5000, 9000))]
+    raw = spark.createDataFrame(rows, "file_path string, line_start int, line_end int, receiver string, owner_type string")
+    with measured(spark) as figures:
+        got = [tuple(r) for r in files.semantic_hints(raw).collect()]
+    want = {("a", line, "r", t) for _, s, e, _, t in rows if s is not None for line in range(s, min(max(e or s, s), s + 512) + 1)}
+    assert len(got) == len(set(got)) and set(got) == want
+    assert 0 < sum(figures("shuffle records written")) <= 2 * len(rows)
