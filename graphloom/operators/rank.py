@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom.operators.walk import between, both_ways
-from graphloom.tables import discard, materialize
+from graphloom.tables import dealt, discard, materialize, parts_of
 
 #: Rounds between two written tables.
 EVERY = 4
@@ -33,15 +33,20 @@ def pagerank(spark: SparkSession, symbols: DataFrame, edges: DataFrame, rounds:
     if not n:
         return nodes.withColumn("score", F.lit(0.0))
     own = edges.where(F.col("relationship").isin(list(relationships)) & (F.col("source_type") == "symbol") & (F.col("target_type") == "symbol"))
-    own = own.select(F.col("source_id").alias("id"), F.col("target_id").alias("to")).join(nodes, "id", "left_semi").join(nodes.withColumnRenamed("id", "to"), "to", "left_semi")
+    own, parts = own.select(F.col("source_id").alias("id"), F.col("target_id").alias("to")), parts_of(own)
+    # dealt out by target and then by source, which the sums of both kinds below keep
+    own = dealt(own, parts, "to").join(dealt(nodes.withColumnRenamed("id", "to"), parts, "to"), "to", "left_semi")
+    own = dealt(own, parts, "id").join(dealt(nodes, parts, "id"), "id", "left_semi")
     weighted = own.groupBy("id", "to").agg(F.count("*").alias("w"))
     links = materialize(spark, weighted.withColumn("out", F.sum("w").over(W.partitionBy("id"))), "links")
+    parts = parts_of(links)
+    spread = dealt(links, parts, "id")
     tail = materialize(spark, nodes.join(links.select("id").distinct(), "id", "left_anti"), "dangling")
     scores = nodes.withColumn("score", F.lit(1.0 / n))
     for k in range(1, (MAX_ROUNDS if rounds is None else rounds) + 1):
         lost = scores.join(tail, "id", "left_semi").agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("lost"))
         lost_mass = lost.first()["lost"]
-        given = scores.join(links, "id").groupBy(F.col("to").alias("id")).agg(F.sum(F.col("score") * F.col("w") / F.col("out")).alias("got"))
+        given = dealt(scores, parts, "id").join(spread, "id").groupBy(F.col("to").alias("id")).agg(F.sum(F.col("score") * F.col("w") / F.col("out")).alias("got"))
         fresh = nodes.join(given, "id", "left").select("id", (F.lit((1 - damping) / n + damping * lost_mass / n) + damping * F.coalesce("got", F.lit(0.0))).alias("score"))
         fresh = materialize(spark, fresh, "scores")
         old = scores

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from graphloom.tables import dealt, parts_of
+
 PART, SUPPLIER, CUSTOMER, NATION, REGION = (i * 1_000_000_000 for i in range(1, 6))
 
 
@@ -61,9 +63,11 @@ def edges(spark: SparkSession, sf_dir: str, relationships: tuple[str, ...] | Non
     c, parts = F.col, {}
     lines = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     order = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
-    calls = lines.select("l_partkey", "l_linenumber", F.lead("l_partkey").over(order).alias("next")).where("next <> l_partkey").groupBy("l_partkey", "next").agg(F.min("l_linenumber").alias("line"))
+    n = parts_of(lines)
+    calls = dealt(lines.select("l_orderkey", "l_linenumber", "l_partkey"), n, "l_orderkey").select("l_partkey", "l_linenumber", F.lead("l_partkey").over(order).alias("next")).where("next <> l_partkey")
+    calls = dealt(calls, n, "l_partkey", "next").groupBy("l_partkey", "next").agg(F.min("l_linenumber").alias("line"))
     parts["CALLS"] = edge(calls, PART + c("l_partkey"), PART + c("next"), "CALLS", c("line"), 1.0)
-    parts["HAS_METHOD"] = edge(lines.select("l_suppkey", "l_partkey").distinct(), SUPPLIER + c("l_suppkey"), PART + c("l_partkey"), "HAS_METHOD", F.lit(None), 1.0)
+    parts["HAS_METHOD"] = edge(dealt(lines.select("l_suppkey", "l_partkey"), n, "l_suppkey", "l_partkey").distinct(), SUPPLIER + c("l_suppkey"), PART + c("l_partkey"), "HAS_METHOD", F.lit(None), 1.0)
     parts["EXTENDS"] = edge(_table(spark, sf_dir, "customer"), CUSTOMER + c("c_custkey"), NATION + c("c_nationkey"), "EXTENDS", F.lit(1), 0.9).unionByName(edge(_table(spark, sf_dir, "supplier"), SUPPLIER + c("s_suppkey"), NATION + c("s_nationkey"), "EXTENDS", F.lit(1), 0.9))
     parts["IMPLEMENTS"] = edge(_table(spark, sf_dir, "nation"), NATION + c("n_nationkey"), REGION + c("n_regionkey"), "IMPLEMENTS", F.lit(1), 0.8)
     out = None

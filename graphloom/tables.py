@@ -58,6 +58,27 @@ def discard(spark: SparkSession, df: DataFrame) -> None:
             system.delete(place, True)
 
 
+#: Bytes of stored input for each part of a table that is dealt out by size.
+PART_BYTES = 8 << 20
+_UNKNOWN = 1 << 62
+
+
+def parts_of(df: DataFrame) -> int:
+    """How many parts the stored tables below ``df`` ask for, or 0 where adaptive execution's number does."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    parts = sum(s for s in sizes if s < _UNKNOWN) // PART_BYTES
+    return parts if parts > df.sparkSession.sparkContext.defaultParallelism else 0
+
+
+def dealt(df: DataFrame, parts: int, *keys: str) -> DataFrame:
+    """``df`` dealt out by its keys over ``parts``, so that the rows of one task don't grow with the input.
+
+    Adaptive execution would join parts until there are as many as cores; joins need the same number on both sides.
+    """
+    return df.repartition(parts, *keys) if parts else df
+
+
 def running_sum(df: DataFrame, keys: list[str], order: list[Column], value: str, name: str) -> DataFrame:
     """``df`` with ``name``, the sum of ``value`` up to each row in order within its keys, and ``<name>_all``, that of all.
 

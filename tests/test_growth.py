@@ -1,9 +1,16 @@
 """Work that grows with the input and the results, not with pairs of rows or opened ranges."""
 
+import pytest
+
+from graphloom import queries_code, tables  # noqa: F401
 from graphloom.operators import resolve
+from graphloom.queries import ORACLE_SQL, QUERIES
 from graphloom.sources import files
 
 from .measured import measured
+from .oracle import compare
+
+SF = "/root/testdata/sf0.001"
 
 
 def test_calls_of_a_hot_name_make_no_pairs(spark):
@@ -38,3 +45,16 @@ def test_hints_deal_out_ranges_not_lines(spark):
     want = {("a", line, "r", t) for _, s, e, _, t in rows if s is not None for line in range(s, min(max(e or s, s), s + 512) + 1)}
     assert len(got) == len(set(got)) and set(got) == want
     assert 0 < sum(figures("shuffle records written")) <= 2 * len(rows)
+
+
+@pytest.mark.parametrize("name", ["pagerank_5"])
+def test_parts_grow_with_the_tables(spark, monkeypatch, name):
+    monkeypatch.setattr(tables, "PART_BYTES", 5_000, raising=False)  # 22 parts of lineitem, where the session has 4
+    with measured(spark) as figures:
+        assert compare(spark, SF, QUERIES[name], ORACLE_SQL[name]) == ""
+    assert max(figures("number of partitions")) > 12
+
+
+def test_unknown_sizes_ask_for_no_parts(spark):
+    assert tables.parts_of(spark.createDataFrame([(1,)], "a long")) == 0
+    assert tables.parts_of(spark.createDataFrame([(1,)], "a long").repartition(3).mapInArrow(lambda it: it, "a long")) == 0
