@@ -20,14 +20,15 @@ def enclosing(calls: DataFrame, symbols: DataFrame, keys: list[str]) -> DataFram
     """For each call (file_path, line) the smallest symbol around its line, by span, then start and id.
 
     Each line with a call is looked up once, however many calls it has. The file is the equi key; the lines are a range
-    condition on it.
+    condition on it. Of symbols with one range in a file only the least is looked at.
     """
     places = calls.select("file_path", "line").distinct()
-    around = symbols.select(F.col("file_path").alias("_f"), F.col("id").alias("caller_id"), "start_line", "end_line")
+    around = symbols.groupBy(F.col("file_path").alias("_f"), "start_line", "end_line").agg(F.min("id").alias("caller_id"))
     inside = (F.col("file_path") == F.col("_f")) & (F.col("line") >= F.col("start_line")) & (F.col("line") <= F.col("end_line"))
     size = F.struct((F.col("end_line") - F.col("start_line")).alias("span"), F.col("start_line"), F.col("caller_id"))
     # an aggregate with partial results instead of a window over every candidate
     best = places.join(around, inside).groupBy("file_path", "line").agg(F.min(size)["caller_id"].alias("caller_id"))
+    best = materialize(calls.sparkSession, best, "enclosing")  # its size then says how calls are joined to it
     return calls.select(*keys, "file_path", "line").distinct().join(best, ["file_path", "line"]).select(*keys, "file_path", "line", "caller_id")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import scalar
 from graphloom.operators import change, context, federated, metrics, rank, resolve, search, walk
 from graphloom.plans import graph_view as g
-from graphloom.tables import ignore_duplicate_edges, materialize, upsert
+from graphloom.tables import dealt, ignore_duplicate_edges, materialize, parts_of, upsert
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -508,7 +508,9 @@ def reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _call_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = read(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("src/"), F.lower(F.replace(F.col("p_brand"), F.lit("#"), F.lit(""))), F.lit(".py")).alias("file_path"))
-    return read(spark, sf_dir, "lineitem").select("l_partkey", F.col("l_quantity").cast("int").alias("line")).distinct().join(part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_partkey").alias("call_id"), "file_path", "line")
+    lines = read(spark, sf_dir, "lineitem").select("l_partkey", F.col("l_quantity").cast("int").alias("line"))
+    n = parts_of(lines)
+    return dealt(lines, n, "l_partkey").join(dealt(part, n, "p_partkey"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_partkey").alias("call_id"), "file_path", "line")
 
 
 @query(graph_sql("""SELECT call_id, file_path, line, caller_id FROM (SELECT c.call_id, c.file_path, c.line, s.id AS caller_id, row_number() OVER (PARTITION BY c.call_id, c.file_path, c.line ORDER BY s.end_line - s.start_line, s.start_line, s.id) AS n
