@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from graphloom.tables import running_sum
+from graphloom.tables import dealt, parts_of, running_sum
 
 
 def diagnostics_summary(rows: DataFrame) -> DataFrame:
@@ -90,8 +90,10 @@ def first_names(symbols: DataFrame, most: int = 8) -> DataFrame:
 def explain_symbol(symbols: DataFrame, edges: DataFrame, most: int = 20) -> DataFrame:
     """Each symbol's strongest neighbours by rank: (id, way, other, place). Only edges between symbols count."""
     own = edges.where("source_type = 'symbol' AND target_type = 'symbol'")
-    ways = own.select(F.col("target_id").alias("id"), F.lit("inbound").alias("way"), F.col("source_id").alias("other")).unionByName(own.select(F.col("source_id").alias("id"), F.lit("outbound").alias("way"), F.col("target_id").alias("other"))).distinct()
-    rows = ways.join(symbols.select(F.col("id").alias("other"), "name", "pagerank_score"), "other")
+    ways = own.select(F.col("target_id").alias("id"), F.lit("inbound").alias("way"), F.col("source_id").alias("other")).unionByName(own.select(F.col("source_id").alias("id"), F.lit("outbound").alias("way"), F.col("target_id").alias("other")))
+    parts = parts_of(own)
+    ways = dealt(ways, parts, "other").distinct()  # one dealing for this and the join
+    rows = dealt(ways.join(dealt(symbols.select(F.col("id").alias("other"), "name", "pagerank_score"), parts, "other"), "other"), parts, "id")
     place = F.row_number().over(W.partitionBy("id", "way").orderBy(F.desc("pagerank_score"), "other"))
     return rows.withColumn("place", place).where(F.col("place") <= most)
 
