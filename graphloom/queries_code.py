@@ -16,7 +16,7 @@ from graphloom.plans import index_job
 from graphloom.queries import SHARDS, _shards, graph_sql, query, read, rounded, seeds_of, stored
 from graphloom.sources import extract, files
 from graphloom.streaming import watch
-from graphloom.tables import delete_files, fresh_path, ignore_duplicate_symbols, rename_files, replace_files
+from graphloom.tables import dealt, delete_files, fresh_path, ignore_duplicate_symbols, parts_of, rename_files, replace_files
 
 SOURCES = {
     "app/service.py": "import os\nfrom app.util import helper as h\nfrom . import other\n\nMAX_RETRIES = 3\n\n\nclass Service:\n    def __init__(self, store: Store):\n        self.store = store\n\n    def run(self, n: int) -> str:\n        self.stop()\n        self.store.save(n)\n        return h(n)\n\n    def stop(self):\n        pass\n\n\nasync def handler(x: str) -> str:\n    s = Service(None)\n    s.run(1)\n    return x\n",
@@ -255,7 +255,8 @@ def deleted_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     gr = g.graph(spark, sf_dir)
     gone = spark.createDataFrame([("src/main.py",), ("src/brand1.py",)], "path string")
     listing = gr.symbols.select(F.col("file_path").alias("path")).distinct()
-    edges = gr.edges.join(gr.symbols.select(F.col("id").alias("source_id"), "file_path"), "source_id")
+    parts = parts_of(gr.edges)
+    edges = dealt(gr.edges, parts, "source_id").join(dealt(gr.symbols.select(F.col("id").alias("source_id"), "file_path"), parts, "source_id"), "source_id")
     _, symbols, rest = delete_files(listing, gr.symbols, edges, gone)
     return symbols.select(F.lit("symbol").alias("kind"), "id", F.lit(0).cast("bigint").alias("target")).unionByName(rest.select(F.lit("edge").alias("kind"), F.col("source_id").alias("id"), F.col("target_id").alias("target")))
 
