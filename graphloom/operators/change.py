@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.operators.metrics import ambiguity_rate
-from graphloom.tables import EDGE_KEY, first_by
+from graphloom.tables import EDGE_KEY, dealt, first_by, parts_of
 
 
 def snapshot_diff(previous: DataFrame, current: DataFrame) -> DataFrame:
@@ -25,9 +25,11 @@ def build_delta(changes: DataFrame, files: DataFrame, symbols: DataFrame, edges:
     """What changed paths hold: files with hash and size, symbols, edges with both ends named, quality."""
     paths = touched_paths(changes)
     own = symbols.join(paths.withColumnRenamed("path", "file_path"), "file_path", "left_semi")
-    end = lambda n: symbols.select(F.col("id").alias(f"{n}_id"), F.struct("qualified_name", "file_path").alias(n))
-    between = edges.where("source_type = 'symbol' AND target_type = 'symbol'").drop("file_path").join(end("source"), "source_id").join(end("target"), "target_id")
-    near = between.join(paths, F.col("source.file_path") == F.col("path"), "left_semi")
+    end = lambda rows, n: rows.select(F.col("id").alias(f"{n}_id"), F.struct("qualified_name", "file_path").alias(n))
+    between = edges.where("source_type = 'symbol' AND target_type = 'symbol'").drop("file_path")
+    parts = parts_of(between)
+    # touched sources first: only their edges look for a target
+    near = dealt(between, parts, "source_id").join(end(own, "source"), "source_id").join(end(symbols, "target"), "target_id")
     return {
         "files": changes.join(files.select("path", "content_hash", "size_bytes"), "path", "left"),
         "symbols": own,

@@ -47,7 +47,7 @@ def test_hints_deal_out_ranges_not_lines(spark):
     assert 0 < sum(figures("shuffle records written")) <= 2 * len(rows)
 
 
-@pytest.mark.parametrize("name", ["pagerank_5", "enclosing_symbol", "explain_neighbours", "deleted_files"])
+@pytest.mark.parametrize("name", ["pagerank_5", "enclosing_symbol", "explain_neighbours", "deleted_files", "promoted_edges"])
 def test_parts_grow_with_the_tables(spark, monkeypatch, name):
     monkeypatch.setattr(tables, "PART_BYTES", 5_000, raising=False)  # 22 parts of lineitem, where the session has 4
     with measured(spark) as figures:
